@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, cut, is_fold, prefix_hash, span_hash, steps, words_of
+from .common import LOWER, U, cut, frequent, is_fold, prefix_hash, span_hash, steps, words_of
 
 STATES, CLASSES, ROUNDS = 8, 4096, 3
 START_DOCS, START_TOKENS, START_ROUNDS = 400, 400, 12
@@ -250,7 +250,7 @@ def score(docs: DataFrame, states: int = STATES, classes: int = CLASSES, rounds:
     ends = counts.filter(F.col("word") == int(END)).first()
     n_ends = ends["n"] if ends else 0
     u[classes] = (n_ends + 0.5) / (total + 0.5 * (v + 1))
-    common = counts.filter(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(COMMON).toPandas().sort_values("word")
+    common = frequent(counts.filter(F.col("word") != int(END)), COMMON).toPandas().sort_values("word")
     model = spark.sparkContext.broadcast((hmm.start, hmm.move, hmm.emit, np.log10(u), common["word"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
     denominator, end_known = float(total + 0.5 * (v + 1)), n_ends > 0
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, langid, lm_scoring, minhash, mixing, quality_rules, suffix_dedup, topk_search, url_filters
+from . import chat_format, langid, lm_scoring, minhash, mixing, quality_rules, sentencepiece_lattice, suffix_dedup, topk_search, url_filters
 from .common import table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -38,6 +38,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.summary(table(spark, sf_dir, "documents"))
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_topk_search": op7_topk_search,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_source_mixing": op9_source_mixing,
