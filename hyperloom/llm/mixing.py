@@ -59,9 +59,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("source", "i", "source_size", F.least(t, F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, most: int = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken (and the columns ``keep``)."""
-    d = docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, most: int = MOST) -> DataFrame:
+    """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken."""
+    d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     # the hash order of documents is their shuffle; ties and repeated rows are numbered within a chunk
     h = F.xxhash64("doc_id", "source", F.lit(17))
     d = d.withColumn("h", h).withColumn("chunk", F.shiftrightunsigned("h", 54).cast("int"))
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK,
     within = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("row", F.monotonically_increasing_id())
     d = d.join(chunks, d.source.eqNullSafe(F.col("cs")) & (F.col("chunk") == F.col("cc"))).withColumn("at", F.col("at") + F.col("chunk_at"))
-    d = cut(d.select("row", "doc_id", *keep, "size", "i", "source_size", "target", "at"))
+    d = cut(d.select("row", "doc_id", "size", "i", "source_size", "target", "at"))
 
     # the schedule
     spark = docs.sparkSession
@@ -99,4 +99,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK,
     overlap = F.least(F.col("at") + F.col("size"), (F.col("b") + 1) * block) - F.greatest(F.col("at"), F.col("b") * block)
     taken = parts.join(drawn, ["i", "b"]).groupBy("row").agg(F.sum(overlap * F.col("times")).alias("taken"))
     out = d.join(taken, "row", "left")
-    return out.select("doc_id", *keep, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, most: int = MOST) -> DataFrame:
+    """Each row of docs as often as the mix takes it, taken / size to the nearest whole number.
+
+    Blank texts are never taken; rows of one doc_id are taken equally often.
+    """
+    by = mix(docs, weights, block, most).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
+    times = F.floor(F.col("t") / F.greatest("s", F.lit(1)) + 0.5).cast("int")
+    by = by.select(F.col("doc_id").alias("__id"), times.alias("__times")).filter("__times > 0")
+    out = docs.join(by, docs.doc_id.eqNullSafe(F.col("__id")))
+    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -81,10 +81,8 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, pivots: int = PIVOTS, rings: i
     rows = vectors.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec").limit(sample).select("dim", "vec").collect()
     model = {}
     for dim, m in top.items():
-        x = np.array([np.frombuffer(r["vec"], "<i4") for r in rows if r["dim"] == dim], np.float64).reshape(-1, dim)
-        if not len(x):
-            x = np.zeros((1, dim))
-        x = _augment(x, m)
+        own = [np.frombuffer(r["vec"], "<i4").astype(np.float64) for r in rows if r["dim"] == dim]
+        x = _augment(np.stack(own) if own else np.zeros((1, dim)), m)
         rng = np.random.Generator(np.random.PCG64(11))
         p = np.unique(x, axis=0)
         p = p[np.sort(rng.permutation(len(p))[:pivots])]
@@ -115,7 +113,7 @@ def assign(vectors: DataFrame, model: dict) -> DataFrame:
             for dim in np.unique(dims).tolist():
                 part = b.filter(pa.array(dims == dim))
                 m, p, borders = model[dim]
-                d = _distances(_augment(_matrix(part.column("vec")).reshape(-1, dim), m), p)
+                d = _distances(_augment(_matrix(part.column("vec")), m), p)
                 near = d.argmin(axis=1)
                 d = d[np.arange(len(d)), near]
                 ring = (d[:, None] > borders[near]).sum(axis=1)
@@ -134,7 +132,7 @@ def _visits(queries: DataFrame, model: dict, cells: dict, k: int, later: bool) -
                 at = np.flatnonzero(dims == dim)
                 m, p, _ = model[dim]
                 c = cells[dim]
-                x = _matrix(b.column("vec").take(pa.array(at))).reshape(-1, dim)
+                x = _matrix(b.column("vec").take(pa.array(at)))
                 dp = _distances(np.column_stack((x, np.zeros(len(x)))), p)[:, c["pivot"]]
                 # distances come from float sums: a margin keeps the bound on the safe side
                 slack = 1e-6 * (dp + c["far"] + 1)
