@@ -94,3 +94,15 @@ def describe(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def preview(edges: DataFrame, n: int = 10) -> DataFrame:
     """edge_id and I_value as text of the first n edges."""
     return edges.orderBy("pos").limit(n).select("edge_id", F.format_string("%.4f", "I_value").alias("information"))
+
+
+def identity_hash(nodes: DataFrame) -> DataFrame:
+    """n, hash: 8 hex digits of the MD5 of all ids in order (a digest of a total order: for graphs of one machine's size)."""
+    ids = F.array_join(F.array_sort(F.collect_list("node_id")), "")
+    return nodes.agg(F.count("*").alias("n"), F.substring(F.md5(ids), 1, 8).alias("hash"))
+
+
+def estimated_size(edges: DataFrame) -> DataFrame:
+    """edges, bytes: the text of ids, predicates and members."""
+    members = F.aggregate("nodes", F.lit(0), lambda a, x: a + F.octet_length(x))
+    return edges.agg(F.count("*").alias("edges"), F.sum(F.octet_length("edge_id") + F.octet_length("predicate") + members).alias("bytes"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, entropy
 from ..model import KAPPA, THETA, with_defaults
-from ..operators import delta, features, graph, kernel, knowledge, mining, partition, ranking, stages
+from ..operators import delta, features, graph, kernel, knowledge, learned, mining, partition, ranking, stages
 from ..sources import graphs as sources
 from ..streaming import streams
 from . import compress
@@ -647,6 +647,50 @@ def windowed_event_edges(spark, d):
     return e.select("edge_id", text("nodes").alias("nodes"), F.round("I_value", 6).alias("I_value"))
 
 
+# ---------------------------------------------------------------- further measures
+@query(with_(NODES) + "select count(*) as n, md5(string_agg(node_id, '' order by node_id))[1:8] as hash from nodes")
+def graph_hash(spark, d):
+    return graph.identity_hash(g.knowledge_nodes(spark, d))
+
+
+@query(with_(KG) + "select count(*) as edges, sum(strlen(edge_id) + strlen(predicate) + list_sum(list_transform(nodes, lambda x: strlen(x))))::bigint as bytes from kg")
+def estimated_size(spark, d):
+    return graph.estimated_size(g.knowledge_graph(spark, d))
+
+
+@query("select vec_id, (vec_id % 196) % 14 as gx, (vec_id % 196) // 14 as gy from embeddings")
+def patch_places(spark, d):
+    x, y = features.grid_place(F.col("vec_id") % 196, 14, 196)
+    return g.table(spark, d, "embeddings").select("vec_id", x.alias("gx"), y.alias("gy"))
+
+
+@query("select l_suppkey % 30 as i, l_partkey % 30 as j, round(avg(l_discount), 6) as sim from lineitem group by all")
+def attention_average(spark, d):
+    w = g.table(spark, d, "lineitem").select((F.col("l_suppkey") % 30).alias("i"), (F.col("l_partkey") % 30).alias("j"), F.col("l_linenumber").alias("head"), F.col("l_discount").alias("w"))
+    return features.head_average(w).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+@query()
+def learned_code_length(spark, d):
+    e = g.knowledge_graph(spark, d)
+    return learned.evaluate(learned.costs(learned.fit(e, rounds=15), e))
+
+
+@query(with_(KG, KB) + f"""
+, m as (select e.predicate, kb.pattern_id from kg e left join kb on {JOIN_KB})
+select predicate, count(*) as edges, count(*) filter (where pattern_id is null) as left_before, 0::bigint as left_after from m group by predicate""")
+def compression_improvement(spark, d):
+    """Edges that no pattern absorbs, before and after a pattern of each of the graph's keys is learned."""
+    e = _kg(spark, d)
+    kb = knowledge.builtin(spark)
+    keys = e.select(*knowledge.key()).distinct().withColumn("pat_pos", F.xxhash64("k_predicate", "k_attrs"))
+    name = F.concat_ws("_", F.lit("learned"), "k_predicate", F.array_join("k_attrs", "_"))
+    new = keys.select("pat_pos", name.alias("edge_id"), F.transform(F.sequence(F.lit(1), F.col("k_arity")), lambda j: F.concat(F.lit("n_"), j.cast("string"))).alias("nodes"), F.col("k_predicate").alias("predicate"), F.lit(1.0).alias("I_value"), F.lit(1.0).alias("base_weight"), F.lit(1.0).alias("dir_factor"), F.col("k_attrs").alias("attr_types"))
+    before = mining.coverage(e, kb, ("predicate",)).select("predicate", "edges", (F.col("edges") - F.col("matched")).alias("left_before"))
+    after = mining.coverage(e, knowledge.add(kb, new), ("predicate",)).select("predicate", (F.col("edges") - F.col("matched")).alias("left_after"))
+    return before.join(after, "predicate")
+
+
 # ---------------------------------------------------------------- flagship
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prune, absorb, weigh and select over the knowledge graph and the event chain together."""
