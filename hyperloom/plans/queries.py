@@ -548,14 +548,14 @@ def _compressed(spark, d, kb=None, ratio=1.0) -> compress.Compressed:
 
 @query(with_(KG) + f"select edge_id, array_to_string(nodes, ',') as nodes, predicate, I_value from kg where {ALIVE}")
 def decompress_edges(spark, d):
-    nodes, edges = compress.decompress(_compressed(spark, d).packets(4))
+    nodes, edges = compress.decompress(_compressed(spark, d).packets(64))
     return edges.select("edge_id", text("nodes").alias("nodes"), "predicate", "I_value")
 
 
 @query(with_(KG, KB) + f", a as (select e.*, kb.pattern_id from kg e left join kb on {JOIN_KB} where {ALIVE}) select predicate, pattern_id is not null as rebuilt, count(*) as n from a group by all")
 def decompress_with_patterns(spark, d):
     kb = knowledge.builtin(spark)
-    edges = compress.decompress(_compressed(spark, d, kb).packets(4), kb)[1]
+    edges = compress.decompress(_compressed(spark, d, kb).packets(64), kb)[1]
     return edges.groupBy("predicate", F.col("edge_id").startswith("reabsorbed_").alias("rebuilt")).agg(F.count("*").alias("n"))
 
 

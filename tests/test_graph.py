@@ -169,3 +169,35 @@ def test_web(spark):
     assert len(web.handle("/api/decompress", {"data": packet["data"]})["edges"]) == 3
     with pytest.raises(KeyError):
         web.handle("/api/none", {})
+
+
+def test_learned_code_length(spark, tmp_path):
+    from hyperloom.operators import learned
+
+    rows = [(f"e{i}", ["a", "b"][: 1 + i % 2], "pq"[i % 2], 0.5, ["t"]) for i in range(80)]
+    e = with_defaults(spark.createDataFrame(rows, "edge_id string, nodes array<string>, predicate string, I_value double, attr_types array<string>"))
+    model = learned.fit(e, rounds=30)
+    r = learned.evaluate(learned.costs(model, e)).first()
+    assert r.edges == 80 and 0 <= r.avg_bits < 1 and r.ratio > 8
+    learned.save(model, str(tmp_path / "model"))
+    again = learned.evaluate(learned.costs(learned.load(str(tmp_path / "model")), e)).first()
+    assert abs(again.avg_bits - r.avg_bits) < 1e-9
+
+
+def test_bad_packets_are_passed_over(spark):
+    p = spark.createDataFrame([(0, bytearray(b"junk")), (1, None), (2, bytearray(b"ESZP" + bytes(30)))], "part int, packet binary")
+    assert {r.payload for r in compress.open_packets(p).collect()} == {None}
+    nodes, edges = compress.decompress(p)
+    assert nodes.count() == edges.count() == 0
+
+
+def test_samples_and_pixels(spark):
+    s = spark.createDataFrame([("a", i, (-1.0) ** i) for i in range(100)] + [("b", 0, 1.0)], "series string, pos long, value double")
+    got = {(r.series, r.win): (r.n, r.energy, r.zcr) for r in features.window_features(s, 64).collect()}
+    assert got == {("a", 0): (64, 1.0, 63 / 64), ("a", 1): (36, 1.0, 35 / 36)}
+    px = spark.createDataFrame([(x, y, 255, 128, 0) for x in range(32) for y in range(16)], "x long, y long, r long, g long, b long")
+    cells = features.patches(px)
+    assert {(r.px, r.py, r.color) for r in cells.collect()} == {(0, 0, "ff8000"), (1, 0, "ff8000")}
+    bad = spark.createDataFrame([(0, 0, "zz")], "px long, py long, color string")
+    assert {(r.r, r.g, r.b) for r in features.paint(bad).collect()} == {(128, 128, 128)}
+    assert features.paint(cells).count() == 512
