@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Words as a regular expression of the JVM.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step takes (a longer text is taken alone).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``; only where that is
     unset (tests on one machine) an own folder is made.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all of the cluster shares, set if need be."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+
+
 def is_fold(doc_id: str, fold: int, folds: int = 5):
     """crc32(doc_id as text) mod ``folds`` equals ``fold``; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold

@@ -14,7 +14,7 @@ than ``max_repeat`` words.
 Defined results: a null text has no words (base_failed, not kept); symbols and
 lines of a blank text are counted as usual; each row is judged by itself, so
 ties and repeated rows are judged alike; an empty table gives an empty result;
-other columns are ignored. Arrow batches are worked off ~2 MB at a time, a
+other columns are ignored. Arrow batches are worked off in steps of ``STEP_BYTES``, a
 longer text alone.
 """
 
