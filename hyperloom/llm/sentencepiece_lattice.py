@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding on a relational lattice.
 
 A text is cut into words that together are the text: an optional space with up
-to ``MAX_WORD`` other characters, or a lone space (a space is the piece mark).
-Distinct words are encoded once:
+to ``MAX_WORD`` letters, or as many characters that are neither letters nor
+spaces, or a lone space (a space is the piece mark; ASCII letters and all
+characters beyond ASCII count as letters). Distinct words are encoded once:
 
 1. Each word's substrings of up to the longest piece's characters are exploded
    and equi-joined to the piece table (a fixed vocabulary: broadcast).
@@ -11,6 +12,9 @@ Distinct words are encoded once:
 3. A higher-order ``aggregate`` folds Viterbi over the edges in order of their
    ends: the best sum of piece scores, ties to the later start, then the
    greater id. Characters outside the vocabulary are their UTF-8 bytes' pieces.
+   An edge is one long (end, start, cost, id), and so is the best way to an end
+   (sum, start, id): this vocabulary's scores are whole numbers, costs are
+   their negatives.
 
 Texts are put together from the words: the most frequent words (``COMMON`` at
 most) go to every task, and the runs of them in a text come out as one part;
@@ -40,13 +44,16 @@ from .common import cut, frequent, prefix_hash, span_hash, steps, text_buffers
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_WORD = 47
 COMMON = 1 << 20
-#: Score of a character that is given by its bytes.
-BYTES_SCORE = -1e7
-TOKEN = rf"(?s) ?[^ ]{{1,{MAX_WORD}}}| "
+#: Score of a character that is given by its bytes; pieces below it are never used.
+BYTES_SCORE = -10_000_000
+_LETTER = r"A-Za-z\x{80}-\x{10FFFF}"
+TOKEN = rf"(?s) ?[{_LETTER}]{{1,{MAX_WORD}}}| ?[^ {_LETTER}]{{1,{MAX_WORD}}}| "
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[list[tuple[str, int, float]], list[bytes], int]:
+def vocabulary(path: str) -> tuple[list[tuple[str, int, int]], list[bytes], int]:
     """(piece text, id, score) of all ordinary pieces; the bytes of every id; the id of byte 0."""
     import sentencepiece
 
@@ -60,12 +67,15 @@ def vocabulary(path: str) -> tuple[list[tuple[str, int, float]], list[bytes], in
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             text = sp.id_to_piece(i).replace("▁", " ")
             raw[i] = text.encode()
-            table.append((text, i, float(sp.get_score(i))))
+            if sp.get_score(i) > BYTES_SCORE:
+                table.append((text, i, int(sp.get_score(i))))
+    if any(s != sp.get_score(i) or not BYTES_SCORE < s <= 0 or i >= 65535 for _, i, s in table):
+        raise ValueError("scores must be whole numbers, and ids below 65535")
     return table, raw, byte0
 
 
 def pieces(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
-    return spark.createDataFrame(vocabulary(path)[0], "piece string, id int, score double")
+    return spark.createDataFrame(vocabulary(path)[0], "piece string, id int, score int")
 
 
 def lattice(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -77,22 +87,25 @@ def lattice(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     subs = starts.select("word", "frm", F.explode(F.expr(f"sequence(frm + 1, least(n, frm + {longest}))")).alias("end"))
     subs = subs.withColumn("piece", F.expr("substring(word, frm + 1, end - frm)"))
     hits = subs.join(F.broadcast(pieces(words.sparkSession, path)), "piece", "left").filter("id is not null or end = frm + 1")
-    edge = F.struct("end", "frm", F.coalesce("score", F.lit(BYTES_SCORE)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    return hits.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    high = F.shiftleft(F.col("end").cast("long"), 48).bitwiseOR(F.shiftleft(F.col("frm").cast("long"), 40))
+    low = F.shiftleft(-F.coalesce("score", F.lit(BYTES_SCORE)).cast("long"), 16).bitwiseOR(F.coalesce("id", F.lit(-1)) + 1)
+    return hits.select("word", high.bitwiseOR(low).alias("edge")).groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
-#: Viterbi: ``done`` has the best (score, frm, id) of every end before ``at``; ``best`` is that of ``at``.
+#: Viterbi: ``done`` has the best (2**30 - cost, start, id + 1) of every end before ``at``; ``best`` is that of ``at``.
 _FOLD = """
 aggregate(edges,
-  named_struct('at', 1, 'best', cast(null as struct<score: double, frm: int, id: int>), 'done', cast(array() as array<struct<score: double, frm: int, id: int>>)),
-  (a, e) -> transform(array(if(e.end > a.at, concat(a.done, array(a.best)), a.done)), d ->
-    named_struct('at', e.end, 'best', greatest(if(e.end > a.at, null, a.best), named_struct('score', if(e.frm = 0, 0D, d[e.frm - 1].score) + e.score, 'frm', e.frm, 'id', e.id)), 'done', d))[0],
+  named_struct('at', 1L, 'best', 0L, 'done', cast(array() as array<bigint>)),
+  (a, e) -> transform(array(if(shiftright(e, 48) > a.at, concat(a.done, array(a.best)), a.done)), d ->
+    named_struct('at', shiftright(e, 48), 'best', greatest(if(shiftright(e, 48) > a.at, 0L, a.best),
+      shiftleft(if(shiftright(e, 40) & 255 = 0, 1073741824L, shiftright(d[cast(shiftright(e, 40) & 255 as int) - 1], 24)) - (shiftright(e, 16) & 16777215), 24)
+      | shiftleft(shiftright(e, 40) & 255, 16) | (e & 65535)), 'done', d))[0],
   a -> concat(a.done, array(a.best)))"""
 #: The path from the last end back to 0.
 _BACK = """
 aggregate(sequence(size(path), 1, -1),
   named_struct('at', size(path), 'ids', cast(array() as array<int>)),
-  (s, p) -> if(p = s.at, named_struct('at', path[p - 1].frm, 'ids', concat(if(path[p - 1].id >= 0, array(path[p - 1].id),
+  (s, p) -> if(p = s.at, named_struct('at', cast(shiftright(path[p - 1], 16) & 255 as int), 'ids', concat(if(path[p - 1] & 65535 > 0, array(cast(path[p - 1] & 65535 as int) - 1),
     transform(sequence(1, octet_length(substring(word, p, 1))), k -> cast(conv(substring(hex(encode(substring(word, p, 1), 'UTF-8')), 2 * k - 1, 2), 16, 10) as int) + {byte0})), s.ids)), s),
   s -> s.ids)"""
 
@@ -108,15 +121,17 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    space = data == 32
+    space, letter = data == 32, LETTER[data]
     first = np.zeros(n, bool)
     first[offs[:-1][np.diff(offs) > 0]] = True
-    start = space | first
-    # characters of a run of other characters, counted from its begin; a run is cut every MAX_WORD
+    # a run of one kind begins with its text, behind a space, or where the kind changes; a space behind which it begins is its own
+    after = np.concatenate(([True], space[:-1]))
+    turn = first | after | np.concatenate(([True], letter[1:] != letter[:-1]))
+    start = space | first | (~space & turn & ~after)
+    # characters of a run, counted from its begin: it is cut every MAX_WORD
     char = ((data & 0xC0) != 0x80) & ~space
     count = np.cumsum(char)
-    run = char & (first | np.concatenate(([True], space[:-1])))
-    base = np.maximum.accumulate(np.where(run, count, 0))
+    base = np.maximum.accumulate(np.where(char & turn, count, 0))
     return np.flatnonzero(start | (char & ((count - base) % MAX_WORD == 0) & (count > base)))
 
 
