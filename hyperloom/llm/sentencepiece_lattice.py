@@ -31,6 +31,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -162,8 +163,11 @@ class Dictionary:
         return self.flat[np.arange(at[-1]) + np.repeat(self.at[k] - at[:-1], size)], at
 
 
-def _parts(docs: DataFrame, common, rest: bool) -> DataFrame:
-    """row, doc_id, part, words, body, ids: the runs of common words, or (``rest``) the other words with null ids."""
+def _parts(docs: DataFrame, common, rest: bool, then=None, schema: str = "") -> DataFrame:
+    """row, doc_id, part, words, body, ids: the runs of common words, or (``rest``) the other words with null ids.
+
+    ``then`` turns each batch into one of ``schema`` in the same worker.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.value
         for batch in batches:
@@ -200,15 +204,15 @@ def _parts(docs: DataFrame, common, rest: bool) -> DataFrame:
                 own = batch.slice(lo, hi - lo)
                 place = pa.array(rows.astype(np.int64))
                 cols = [own.column("row").take(place), own.column("doc_id").take(place), pa.array(part[pick].astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(body, pa.binary()).cast(pa.string()), ids]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "part", "words", "body", "ids"])
+                out = pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "part", "words", "body", "ids"])
+                yield out if then is None else then(out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"row long, doc_id {kind}, part int, words int, body string, ids array<int>")
+    return docs.mapInArrow(run, schema or f"row long, doc_id {kind}, part int, words int, body string, ids array<int>")
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, most_common: int = COMMON) -> DataFrame:
-    """docs(doc_id, text) -> row, doc_id, part, words, body, ids: the parts of every row's text."""
-    spark = docs.sparkSession
+def _prepare(docs: DataFrame, path: str, most_common: int) -> tuple:
+    """Numbered rows, the dictionary of common words (a broadcast), and the encodings of all other words."""
     counts = docs.select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counts = cut(counts)
     often = cut(frequent(counts, most_common))
@@ -216,37 +220,57 @@ def encode(docs: DataFrame, path: str = VOCABULARY, most_common: int = COMMON) -
     lists = got.column("ids").combine_chunks()
     flat, at = np.asarray(lists.flatten(), np.uint16), np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))))
     dictionary = Dictionary(got.column("word").combine_chunks(), [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-    common = spark.sparkContext.broadcast(dictionary)
     numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
     seldom = encode_words(counts.join(often.select("word"), "word", "left_anti"), path)
-    rest = _parts(numbered, common, True).drop("ids").join(seldom.withColumnRenamed("word", "body"), "body")
+    return numbered, docs.sparkSession.sparkContext.broadcast(dictionary), seldom.withColumnRenamed("word", "body")
+
+
+def encode(docs: DataFrame, path: str = VOCABULARY, most_common: int = COMMON) -> DataFrame:
+    """docs(doc_id, text) -> row, doc_id, part, words, body, ids: the parts of every row's text."""
+    numbered, common, seldom = _prepare(docs, path, most_common)
+    rest = _parts(numbered, common, True).drop("ids").join(seldom, "body")
     return _parts(numbered, common, False).unionByName(rest)
 
 
+def said(batch: pa.RecordBatch, path: str) -> list[bytes]:
+    """The bytes that each row's ids stand for."""
+    raw, col = vocabulary(path)[1], batch.column("ids")
+    flat = np.asarray(col.flatten()).tolist()
+    at = np.concatenate(([0], np.cumsum(np.asarray(col.value_lengths(), np.int64)))).tolist()
+    return [b"".join([raw[i] for i in flat[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def decode(parts: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """The parts with ``decoded``: the text that their ids stand for."""
-    cols = parts.columns
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = vocabulary(path)[1]
         for batch in batches:
-            col = batch.column("ids")
-            flat = np.asarray(col.flatten()).tolist()
-            at = np.concatenate(([0], np.cumsum(np.asarray(col.value_lengths(), np.int64)))).tolist()
-            said = [b"".join([raw[i] for i in flat[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.decode("utf-8", "replace") for x in said], pa.string())], names=[*cols, "decoded"])
+            back = pa.array([x.decode("utf-8", "replace") for x in said(batch, path)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, back], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
     return parts.mapInArrow(run, f"{schema}, decoded string")
 
 
-def summary(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_words, n_pieces, n_bytes, ids_hash, exact for each row.
+def summary(docs: DataFrame, path: str = VOCABULARY, most_common: int = COMMON) -> DataFrame:
+    """doc_id, n_words, n_pieces, n_bytes, ids_hash, exact for each row, of its encoded parts.
 
-    ids_hash adds up xxhash64(part, ids) over the parts, mod 2**63; exact: every part decodes to its text.
+    ids_hash adds up 56 bits of the BLAKE2 hash of (part, ids) over the parts,
+    mod 2**63; exact: every part decodes to its text.
     """
-    # 56 bits of each hash: sums of fewer than 2**62 parts stay exact as decimals
-    own = F.shiftrightunsigned(F.xxhash64("part", "ids"), 8)
-    by = decode(encode(docs, path), path).select("row", "doc_id", "words", F.size("ids").alias("pieces"), F.octet_length("decoded").alias("bytes"), own.alias("h"), (F.col("decoded") == F.col("body")).alias("ok"))
-    out = by.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("words").alias("n_words"), F.sum("pieces").alias("n_pieces"), F.sum("bytes").cast("long").alias("n_bytes"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"), F.bool_and("ok").alias("exact"))
+    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
+        col = batch.column("ids")
+        size = np.asarray(col.value_lengths(), np.int64)
+        flat, at = np.asarray(col.flatten()).astype("<i4"), np.concatenate(([0], np.cumsum(size)))
+        back, part = said(batch, path), np.asarray(batch.column("part")).astype("<i4")
+        mark = [int.from_bytes(hashlib.blake2b(part[k].tobytes() + flat[a:b].tobytes(), digest_size=7).digest(), "little") for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
+        same = [x == y.as_buffer().to_pybytes() for x, y in zip(back, batch.column("body").cast(pa.binary()), strict=True)]
+        cols = [batch.column("row"), batch.column("doc_id"), batch.column("words"), pa.array(size), pa.array([len(x) for x in back], pa.int64()), pa.array(mark, pa.int64()), pa.array(same, pa.bool_())]
+        return pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "words", "pieces", "bytes", "h", "ok"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"row long, doc_id {kind}, words int, pieces long, bytes long, h long, ok boolean"
+    numbered, common, seldom = _prepare(docs, path, most_common)
+    rest = _parts(numbered, common, True).drop("ids").join(seldom, "body").select("row", "doc_id", "part", "words", "body", "ids")
+    by = _parts(numbered, common, False, add, schema).union(rest.mapInArrow(lambda batches: map(add, batches), schema))
+    out = by.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("words").alias("n_words"), F.sum("pieces").alias("n_pieces"), F.sum("bytes").alias("n_bytes"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"), F.bool_and("ok").alias("exact"))
     return out.select("doc_id", "n_words", "n_pieces", "n_bytes", F.expr("cast(h % 9223372036854775808 as bigint)").alias("ids_hash"), "exact")
