@@ -7,6 +7,7 @@ string is made per word. A word is a run of bytes outside the six ASCII blanks
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -71,6 +72,17 @@ def _grow(n: int) -> None:
             _powers[k] = np.multiply.accumulate(p)
 
 
+def release() -> None:
+    """Hand memory that is free back to the system: workers stay alive, idle, beside the JVM's next stages."""
+    for k, p in enumerate(_powers):
+        if len(p) > 4 * STEP_BYTES:
+            _powers[k] = p[: 4 * STEP_BYTES].copy()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; distinct inputs stay distinct."""
     x = x ^ (x >> U(33))
@@ -121,6 +133,7 @@ def steps(col: pa.Array, step: int = 0) -> Iterator[tuple[int, int, np.ndarray,
         hi = min(hi, n)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    release()
 
 
 def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

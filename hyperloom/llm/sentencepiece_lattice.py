@@ -139,16 +139,14 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 class Dictionary:
     """Encodings by word hash, as flat arrays."""
 
-    def __init__(self, words: pa.Array, ids: list[np.ndarray]):
+    def __init__(self, words: pa.Array, flat: np.ndarray, at: np.ndarray):
+        """``flat`` has all ids; those of word k are flat[at[k] : at[k + 1]]."""
         data, offs = text_buffers(words)
         data, offs = data[offs[0] : offs[-1]] if len(words) else data, offs - offs[0]
         h = span_hash(prefix_hash(data), offs[:-1], offs[1:])
         o = np.argsort(h)
-        size = np.array([len(x) for x in ids], np.int64)
-        self.keys = h[o]
-        flat = np.concatenate([*ids, np.zeros(0, np.uint16)]).astype(np.uint16)
-        at = np.cumsum(size) - size
-        self.at, self.size, self.flat = at[o].astype(np.int32), size[o].astype(np.int16), flat
+        self.keys, size = h[o], np.diff(at)
+        self.at, self.size, self.flat = at[:-1][o].astype(np.int32), size[o].astype(np.int16), flat
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
@@ -219,7 +217,8 @@ def _prepare(docs: DataFrame, path: str, most_common: int) -> tuple:
     got = encode_words(often, path).toArrow()
     lists = got.column("ids").combine_chunks()
     flat, at = np.asarray(lists.flatten(), np.uint16), np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))))
-    dictionary = Dictionary(got.column("word").combine_chunks(), [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+    dictionary = Dictionary(got.column("word").combine_chunks(), flat, at)
+    del got, lists
     numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
     seldom = encode_words(counts.join(often.select("word"), "word", "left_anti"), path)
     return numbered, docs.sparkSession.sparkContext.broadcast(dictionary), seldom.withColumnRenamed("word", "body")

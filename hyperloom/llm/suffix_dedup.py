@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, prefix_hash, span_hash, steps
+from .common import U, cut, prefix_hash, release, span_hash, steps
 from .induced_sort import repeated_starts
 
 LENGTH, GRAM = 400, 48
 #: Bytes of regions that a shard takes, about.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 
 
 def regions_of(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -139,7 +139,10 @@ def _sort_shards(regions: DataFrame, length: int) -> DataFrame:
             spans.append(list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)))
         out = pa.array([[{"from": a, "to": z} for a, z in s] for s in spans], pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))
         got = pa.RecordBatch.from_arrays([rows.column("anchor").combine_chunks(), rows.column("digest").combine_chunks(), out], names=["anchor", "digest", "spans"])
-        yield got.filter(pa.array([bool(s) for s in spans]))
+        got = got.filter(pa.array([bool(s) for s in spans]))
+        del rows, body, data, text, own, hit, out
+        release()
+        yield got
 
     return regions.mapInArrow(run, "anchor long, digest long, spans array<struct<from: int, to: int>>")
 
