@@ -624,13 +624,34 @@ def generated_triples(spark, d):
     return t.agg(F.count("*").alias("triples"), ok.alias("typed")).join(n)
 
 
+#: Edges of a JSON document, about.
+DOCUMENT_EDGES = 4096
+
+
+def _documents(spark, d) -> DataFrame:
+    """The knowledge graph as JSON documents: each predicate's edges, and the nodes, dealt by a hash of their ids, so that no document grows with the graph."""
+    e = with_defaults(g.knowledge_graph(spark, d)).withColumn("pos", F.col("edge_id"))
+    shards = -(-e.count() // DOCUMENT_EDGES) or 1
+    part = lambda name, c: F.concat_ws(":", name, F.pmod(F.xxhash64(c), F.lit(shards)).cast("string"))
+    n = g.knowledge_nodes(spark, d).withColumn("graph_id", part(F.lit("located_in"), "node_id"))
+    return sources.to_documents(n, e.withColumn("graph_id", part(F.col("predicate"), "edge_id")))
+
+
+def _read_back(spark, d) -> DataFrame:
+    back = sources.from_documents(_documents(spark, d))[1]
+    return back.select("edge_id", text("nodes").alias("nodes"), "predicate", "I_value", text("attr_types").alias("attr_types"))
+
+
 @query(with_(KG) + "select edge_id, array_to_string(nodes, ',') as nodes, predicate, I_value, array_to_string(attr_types, ',') as attr_types from kg where predicate <> 'placed_by'")
 def graph_json_roundtrip(spark, d):
-    """Graphs as JSON documents, one for each predicate, and back."""
-    e = with_defaults(g.knowledge_graph(spark, d).filter("predicate <> 'placed_by'")).withColumn("graph_id", F.col("predicate")).withColumn("pos", F.col("edge_id"))
-    docs = sources.to_documents(g.knowledge_nodes(spark, d).withColumn("graph_id", F.lit("located_in")), e)
-    back = sources.from_documents(docs)[1]
-    return back.select("edge_id", text("nodes").alias("nodes"), "predicate", "I_value", text("attr_types").alias("attr_types"))
+    """Graphs as JSON documents and back, all predicates; the result leaves out the orders, as the SQL does."""
+    return _read_back(spark, d).filter("predicate <> 'placed_by'")
+
+
+@query(with_(KG) + "select edge_id, array_to_string(nodes, ',') as nodes, predicate, I_value, array_to_string(attr_types, ',') as attr_types from kg")
+def graph_json_roundtrip_all(spark, d):
+    """The same with the edges of all predicates."""
+    return _read_back(spark, d)
 
 
 @query(with_(EVENTS) + "select user_id, count(*) as n, round(sum(1 / (I_value + 1e-9)), 3) as weight from ev where I_value >= 0.75 group by user_id")

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from hyperloom.model import with_defaults
 from hyperloom.operators import delta, features, graph, mining, partition, ranking
-from hyperloom.plans import compress
+from hyperloom.plans import compress, derived, queries
 from hyperloom.sources import graphs
 from hyperloom.streaming import streams
 
+SF = "/root/testdata/sf0.001"
+
 SAMPLE = {
     "nodes": [{"node_id": f"n{i}", "attributes": {"name": f"x{i}", "type": "person", "age": i}} for i in (1, 2, 3)],
     "edges": [
@@ -37,6 +39,18 @@ def test_json_roundtrip(spark, tmp_path):
     assert n0.count() == e0.count() == 0
 
 
+def test_json_roundtrip_of_all_predicates(spark, monkeypatch):
+    """Orders are written and read back too, and no document has all edges of a large predicate."""
+    monkeypatch.setattr(queries, "DOCUMENT_EDGES", 100)
+    docs = queries._documents(spark, SF).collect()
+    edges = [e for r in docs for e in json.loads(r.value)["edges"]]
+    want = {(r.edge_id, r.predicate) for r in derived.knowledge_graph(spark, SF).collect()}
+    assert {(e["edge_id"], e["predicate"]) for e in edges} == want and len(edges) == len(want)
+    assert "placed_by" in {e["predicate"] for e in edges}
+    assert max(len(json.loads(r.value)["edges"]) for r in docs) < 200
+    assert queries.QUERIES["graph_json_roundtrip_all"](spark, SF).count() == len(want)
+
+
 def test_parquet_and_pickle(spark, tmp_path):
     n, e = load(spark, tmp_path, SAMPLE)
     graphs.write_parquet(n, e, str(tmp_path / "g.parquet"))
