@@ -22,12 +22,14 @@ def temporal_edges(rows: DataFrame, key: str, order: list[str], member: Column,
     return r.select(F.concat_ws(":", F.lit(prefix), F.col(key).cast("string"), F.col("i").cast("string")).alias("edge_id"), "nodes", value.alias("I_value"), F.lit(predicate).alias("predicate"), F.col(key), "i")
 
 
-def window_features(samples: DataFrame, size: int = 1024, least: int = 32, most: int = 512) -> DataFrame:
+def window_features(samples: DataFrame, size: int = 1024, least: int = 32, most: int | None = 512) -> DataFrame:
     """samples(series, pos, value) -> series, win, n, energy, zcr, feat of fixed windows.
 
-    A window of fewer than ``least`` samples is left out, and so is what follows ``most`` windows.
+    A window of fewer than ``least`` samples is left out, and so is what follows ``most`` windows (None: nothing).
     """
-    s = samples.withColumn("win", F.floor(F.col("pos") / size)).filter(F.col("win") < most)
+    s = samples.withColumn("win", F.floor(F.col("pos") / size))
+    if most is not None:
+        s = s.filter(F.col("win") < most)
     before = F.lag("value").over(Window.partitionBy("series", "win").orderBy("pos"))
     s = s.withColumn("__cross", F.when(before * F.col("value") < 0, 1).otherwise(0))
     v = F.col("value").cast("double")

@@ -205,6 +205,15 @@ def test_bad_packets_are_passed_over(spark):
     assert nodes.count() == edges.count() == 0
 
 
+def test_all_windows_of_a_long_series(spark, tmp_path):
+    """A series of more than 512 windows keeps all of them."""
+    n = 600 * 64 + 40
+    e = spark.range(n).select(F.col("id").alias("event_id"), F.lit(4).cast("long").alias("user_id"), (50 + F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0)).alias("value"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.series, r.win): (r.n, r.energy, r.zcr) for r in queries.QUERIES["window_energy_zcr"](spark, str(tmp_path)).collect()}
+    assert got == {(0, k): (64, 1.0, round(63 / 64, 6)) for k in range(600)} | {(0, 600): (40, 1.0, round(39 / 40, 6))}
+
+
 def test_samples_and_pixels(spark):
     s = spark.createDataFrame([("a", i, (-1.0) ** i) for i in range(100)] + [("b", 0, 1.0)], "series string, pos long, value double")
     got = {(r.series, r.win): (r.n, r.energy, r.zcr) for r in features.window_features(s, 64).collect()}
