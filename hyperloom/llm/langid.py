@@ -9,8 +9,8 @@ its posterior under equal priors.
 
 Training: expectation-maximisation of the piece probabilities over word counts
 of at most ``TRAIN_DOCS`` labelled texts for each language (the first by hash of
-doc_id; ``TRAIN_BYTES`` of each at most), on the driver; ``ROUNDS`` rounds from
-uniform probabilities. At most ``MAX_LANGS`` languages are learned, the most
+doc_id; whole texts, words of any length), counted by Spark and fitted on the
+driver; ``ROUNDS`` rounds from uniform probabilities. At most ``MAX_LANGS`` languages are learned, the most
 frequent.
 
 Prediction: distinct words of a run of texts are scored once; words that a
@@ -35,11 +35,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, is_fold, prefix_hash, span_hash, steps, words_of
+from .common import BLANK, LOWER, is_fold, prefix_hash, span_hash, steps, text_buffers, words_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_PIECE = 10
-TRAIN_DOCS, TRAIN_BYTES, ROUNDS, MAX_LANGS = 300, 4000, 4, 64
+TRAIN_DOCS, ROUNDS, MAX_LANGS = 300, 4, 64
 CACHE = 1 << 18
 #: Pseudo-count of every piece in every language.
 SMOOTH = 0.05
@@ -114,61 +114,77 @@ def word_scores(data: np.ndarray, start: np.ndarray, end: np.ndarray, prob: np.n
 
 
 def _groups(size: np.ndarray, most: int = 1 << 18) -> Iterator[np.ndarray]:
-    """Words by length, in groups of a bounded number of bytes."""
+    """Words by length, in groups whose number times their greatest length is bounded (a longer word is alone)."""
     order = np.argsort(size, kind="stable")
-    total, at = np.cumsum(size[order]), 0
+    size, at = size[order], 0
     while at < len(order):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        own = size[at : at + most]
+        stop = at + max(1, int(np.searchsorted(own * np.arange(1, len(own) + 1), most, "right")))
         yield order[at:stop]
         at = stop
 
 
 def piece_counts(data: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.ndarray, prob: np.ndarray, path: str) -> np.ndarray:
-    """Expected number of times that each piece is used, words weighted (one language: ``prob`` is a vector)."""
+    """Expected number of times that each piece is used, words weighted (one language: ``prob`` is a vector).
+
+    Sums over beginnings and ends are kept as logarithms, so a word may have any length.
+    """
     out = np.zeros(len(prob))
     size = end - start
     for rows in _groups(size):
-        word, a, b, piece = lattice(data, start[rows], end[rows], path)
+        lo, hi = int(start[rows].min()), int(end[rows].max())
+        word, a, b, piece = lattice(data[lo:hi], start[rows] - lo, end[rows] - lo, path)
         longest = int(size[rows].max())
-        grid = np.zeros((longest + 1, len(rows)))
-        grid[0] = 1
+        ahead = np.zeros((longest + 1, len(rows)))
         at, (w, i, q) = _by_step(b, word, a, piece)
         for t in range(1, longest + 1):
             s = slice(at[t], at[t + 1])
-            grid[t] = np.bincount(w[s], grid[i[s], w[s]] * prob[q[s]], minlength=len(rows))
-        back = np.zeros_like(grid)
-        back[size[rows], np.arange(len(rows))] = 1
+            last = ahead[t - 1]
+            new = np.bincount(w[s], np.exp(ahead[i[s], w[s]] - last[w[s]]) * prob[q[s]], minlength=len(rows))
+            ahead[t] = last + np.log(np.where(new > 0, new, 1))  # a word that has ended has no more edges
+        back = np.zeros_like(ahead)
         at, (w, j, q) = _by_step(a, word, b, piece)
         for t in range(longest - 1, -1, -1):
             s = slice(at[t], at[t + 1])
-            back[t] += np.bincount(w[s], back[j[s], w[s]] * prob[q[s]], minlength=len(rows))
-        use = grid[a, word] * prob[piece] * back[b, word] / np.maximum(grid[size[rows], np.arange(len(rows))], 1e-300)[word]
+            last = back[t + 1]
+            new = np.bincount(w[s], np.exp(back[j[s], w[s]] - last[w[s]]) * prob[q[s]], minlength=len(rows))
+            back[t] = last + np.log(np.where(new > 0, new, 1))
+        use = np.exp(ahead[a, word] + back[b, word] - ahead[size[rows], np.arange(len(rows))][word]) * prob[piece]
         out += np.bincount(piece, use * weight[rows][word], minlength=len(prob))
     return out
 
 
+def word_counts(texts: DataFrame) -> DataFrame:
+    """texts(lang, text) -> lang, word (its bytes in lower case), n."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offs in steps(batch.column("text")):
+                s, e, doc = words_of(data, offs)
+                at = np.concatenate(([0], np.cumsum(e - s))).astype(np.int32)
+                words = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(LOWER[data[~BLANK[data]]].tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(lo, hi - lo).take(pa.array(doc)), words], names=["lang", "word"])
+
+    return texts.select("lang", "text").mapInArrow(run, "lang string, word binary").groupBy("lang", "word").agg(F.count("*").alias("n"))
+
+
 def fit(docs: DataFrame, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
     """Languages in code-point order, and pieces x languages probabilities."""
     own = docs.filter(~is_fold("doc_id", 0) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     langs = sorted(r["lang"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(29)), "text")
     own = own.filter(F.col("lang").isin(langs)).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= TRAIN_DOCS)
-    # at most MAX_LANGS x TRAIN_DOCS x TRAIN_BYTES
-    rows = own.select("lang", F.substring("text", 1, TRAIN_BYTES).alias("text")).collect() if langs else []
     n_pieces = 256 + len(pieces(path)[0])
     prob = np.full((n_pieces, len(langs)), 1 / n_pieces)
+    counts = word_counts(own).toArrow() if langs else None
     for k, lang in enumerate(langs):
-        col = pa.array([r["text"] for r in rows if r["lang"] == lang], pa.string())
-        (_, _, data, offs), = steps(col, 1 << 40)
-        data = LOWER[data]
-        s, e, _ = words_of(data, offs)
-        short = e - s <= 64
-        s, e = s[short], e[short]
-        if not len(s):
+        part = counts.filter(pc.equal(counts.column("lang"), lang))
+        if not part.num_rows:
             continue
-        _, one, n = np.unique(span_hash(prefix_hash(data), s, e), return_index=True, return_counts=True)
+        part = part.append_column("size", pc.binary_length(part.column("word"))).sort_by([("size", "ascending"), ("word", "ascending")])
+        data, offs = text_buffers(part.column("word"))
+        n = np.asarray(part.column("n"), float)
         for _ in range(ROUNDS):
-            c = piece_counts(data, s[one], e[one], n.astype(float), prob[:, k], path) + SMOOTH
+            c = piece_counts(data, offs[:-1], offs[1:], n, prob[:, k], path) + SMOOTH
             prob[:, k] = c / c.sum()
     return langs, prob
 

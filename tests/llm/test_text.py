@@ -151,6 +151,35 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(df.filter("lang is null")).collect()} == {"und"}
 
 
+def test_piece_counts_of_long_words():
+    """The pieces used in a word cover it, whatever its length."""
+    h, ids = langid.pieces(langid.VOCABULARY)
+    prob = np.random.default_rng(4).dirichlet(np.ones(256 + len(h)))
+    words = ["the", "漢字仮名" * 900, "a"]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    at = np.cumsum([0, *(len(w.encode()) for w in words)])
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=langid.VOCABULARY)
+    names = {sp.id_to_piece(i).replace("▁", "").lower().encode() for i in range(3, sp.vocab_size()) if not sp.is_byte(i)}
+    size = np.array([1] * 256 + [len(n) for n in sorted(n for n in names if 2 <= len(n) <= langid.MAX_PIECE)])
+    got = langid.piece_counts(data, at[:-1], at[1:], np.array([2.0, 1.0, 3.0]), prob, langid.VOCABULARY)
+    assert len(size) == len(got) and abs((got * size).sum() / (2 * 3 + len(words[1].encode()) + 3) - 1) < 1e-8
+
+
+def test_language_without_spaces(spark):
+    """Words of more than 64 bytes are learned, and what stands behind the 4,000th character too."""
+    import random
+
+    rng = random.Random(6)
+    clause = lambda letters: "".join(rng.choices(letters, k=60))
+    late = lambda word: "- " * 2500 + f"{word} " * 300
+    texts = [(clause("日本語仮名"), "aa") for _ in range(40)] + [(clause("中文汉字简"), "bb") for _ in range(40)] + [(late("zebra"), "cc") for _ in range(9)] + [(late("quokka"), "dd") for _ in range(9)]
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [lang for _, lang in texts]
+
+
 def cut_words(text):
     import re
 
