@@ -10,11 +10,12 @@ its posterior under equal priors.
 Training: expectation-maximisation of the piece probabilities over word counts
 of at most ``TRAIN_DOCS`` labelled texts for each language (the first by hash of
 doc_id; whole texts, words of any length), counted by Spark and fitted on the
-driver; ``ROUNDS`` rounds from uniform probabilities. At most ``MAX_LANGS`` languages are learned, the most
-frequent.
+driver; ``ROUNDS`` rounds from uniform probabilities. All languages are learned; a
+language is a column of about 170 KB in the broadcast matrix.
 
-Prediction: distinct words of a run of texts are scored once; words that a
-worker has seen lately are looked up (``CACHE`` words at most).
+Prediction: distinct words of a run of texts are scored once, under ``LANGS``
+languages at a time; words that a worker has seen lately are looked up
+(``CACHE`` times ``LANGS`` scores at most).
 
 Defined results: ``und`` with score 0 if the text is null or has no letters
 (Unicode categories L*), or if nothing was learned; ties go to the language
@@ -26,7 +27,7 @@ are ignored.
 from __future__ import annotations
 
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,8 +40,8 @@ from .common import BLANK, LOWER, is_fold, prefix_hash, span_hash, steps, text_b
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_PIECE = 10
-TRAIN_DOCS, ROUNDS, MAX_LANGS = 300, 4, 64
-CACHE = 1 << 18
+TRAIN_DOCS, ROUNDS = 300, 4
+CACHE, LANGS = 1 << 18, 16
 #: Pseudo-count of every piece in every language.
 SMOOTH = 0.05
 
@@ -170,9 +171,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
     """Languages in code-point order, and pieces x languages probabilities."""
     own = docs.filter(~is_fold("doc_id", 0) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    langs = sorted(r["lang"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
+    langs = sorted(r["lang"] for r in own.select("lang").distinct().collect())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(29)), "text")
-    own = own.filter(F.col("lang").isin(langs)).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= TRAIN_DOCS)
+    own = own.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= TRAIN_DOCS)
     n_pieces = 256 + len(pieces(path)[0])
     prob = np.full((n_pieces, len(langs)), 1 / n_pieces)
     counts = word_counts(own).toArrow() if langs else None
@@ -192,6 +193,24 @@ def fit(docs: DataFrame, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]
 _letters = r"\p{L}"
 
 
+def _looked_up(h: np.ndarray, known: np.ndarray, value: np.ndarray, most: int, score: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The scores of words by their hashes, and what is known then; ``score`` gives those of new words by position."""
+    got = np.empty((len(h), value.shape[1]))
+    k = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+    hit = known[k] == h if len(known) else np.zeros(len(h), bool)
+    got[hit] = value[k[hit]]
+    new = np.flatnonzero(~hit)
+    got[new] = score(new)
+    if len(h) + len(known) <= most:
+        known, value = np.concatenate((known, h[new])), np.concatenate((value, got[new]))
+    elif len(h) <= most:
+        known, value = h, got
+    else:
+        known, value = h[:most], got[:most]
+    o = np.argsort(known)
+    return got, (known[o], value[o])
+
+
 def predict(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """docs(doc_id, text, lang) -> doc_id, held_out, lang_pred, score."""
     langs, prob = fit(docs.select("doc_id", "text", "lang"), path)
@@ -199,7 +218,8 @@ def predict(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prob = model.value
-        known, value = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
+        blocks = [slice(k, min(k + LANGS, len(langs))) for k in range(0, len(langs), LANGS)]
+        seen = [(np.zeros(0, np.uint64), np.zeros((0, b.stop - b.start))) for b in blocks]
         for batch in batches:
             for lo, hi, data, offs in steps(batch.column("text")):
                 rows = hi - lo
@@ -207,22 +227,11 @@ def predict(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 low = LOWER[data]
                 s, e, doc = words_of(low, offs)
                 h, one, inv = np.unique(span_hash(prefix_hash(low), s, e), return_index=True, return_inverse=True)
-                if not langs:
-                    got = np.zeros((len(h), 1))
-                else:
-                    got = np.empty((len(h), len(langs)))
-                    k = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                    hit = known[k] == h if len(known) else np.zeros(len(h), bool)
-                    got[hit] = value[k[hit]]
-                    new = np.flatnonzero(~hit)
-                    got[new] = word_scores(low, s[one[new]], e[one[new]], prob, path)
-                    if len(h) + len(known) <= CACHE:
-                        known, value = np.concatenate((known, h[new])), np.concatenate((value, got[new]))
-                    else:
-                        known, value = h, got
-                    o = np.argsort(known)
-                    known, value = known[o], value[o]
-                total = np.stack([np.bincount(doc, got[inv, k], minlength=rows) for k in range(got.shape[1])], axis=1)
+                total = np.zeros((rows, max(1, len(langs))))
+                for k, block in enumerate(blocks):
+                    got, seen[k] = _looked_up(h, *seen[k], CACHE // len(blocks), lambda new: word_scores(low, s[one[new]], e[one[new]], prob[:, block], path))  # noqa: B023
+                    for j in range(got.shape[1]):
+                        total[:, block.start + j] = np.bincount(doc, got[inv, j], minlength=rows)
                 best = total.argmax(axis=1)
                 post = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 has = np.asarray(pc.fill_null(pc.match_substring_regex(part.column("text"), _letters), False))

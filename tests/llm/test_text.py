@@ -180,6 +180,14 @@ def test_language_without_spaces(spark):
     assert [got[i] for i in range(len(texts))] == [lang for _, lang in texts]
 
 
+def test_more_languages_than_a_block(spark):
+    """Every labelled language is learned, the rare ones too."""
+    texts = [(f"{chr(0x4E00 + 7 * k)}{chr(0x4E03 + 7 * k)} " * 20, f"l{k:02}") for k in range(70) for _ in range(8 + (k < 64))]
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [lang for _, lang in texts]
+
+
 def cut_words(text):
     import re
 
