@@ -14,8 +14,8 @@ the trained parameters have a fixed size (``STATES`` x ``CLASSES`` and
 
 Training: Baum-Welch. Each partition runs scaled forward-backward recursions
 over its training texts and emits expected counts (state, class, count), which
-are summed before and after the shuffle; ``ROUNDS`` rounds over all training
-texts, from a start that a few rounds over at most ``START_DOCS`` texts give.
+are summed before and after the shuffle; ``START_ROUNDS`` + ``ROUNDS`` rounds,
+each over all training texts, from a random model.
 Texts' classes are computed once and kept as bytes in a checkpoint.
 
 Base: word counts over all training texts by 64-bit word hash. The ``COMMON``
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, U, cut, frequent, is_fold, prefix_hash, span_hash, steps, words_of
 
 STATES, CLASSES, ROUNDS = 8, 4096, 3
-START_DOCS, START_TOKENS, START_ROUNDS = 400, 400, 12
+START_ROUNDS = 12
 COMMON = 1 << 18
 #: The end of a text, as a word.
 END = np.int64(-6148914691236517206)
@@ -224,13 +224,8 @@ def _baum_welch(prepared: DataFrame, hmm: Hmm) -> Hmm:
 
 
 def train(prepared: DataFrame, states: int = STATES, classes: int = CLASSES, rounds: int = ROUNDS) -> Hmm:
-    first = prepared.orderBy(F.xxhash64("classes")).limit(START_DOCS).select(F.substring("classes", 1, 2 * START_TOKENS).alias("c")).collect()
-    seqs = [np.frombuffer(bytes(r["c"]), np.uint16) for r in first]
     hmm = Hmm.random(states, classes)
-    for _ in range(START_ROUNDS if seqs else 0):
-        s, mv, e = expect(hmm, seqs)
-        hmm = Hmm.from_counts(s, mv, e + 0.01)
-    for _ in range(rounds if seqs else 0):
+    for _ in range(0 if prepared.isEmpty() else START_ROUNDS + rounds):
         hmm = _baum_welch(prepared, hmm)
     return hmm
 

@@ -62,6 +62,17 @@ def test_scores(spark):
         assert math.isfinite(r.score) and r.score < 0
 
 
+def test_training_rounds_over_all_texts(spark):
+    """Every round is one over all texts: many copies of one text are not all that the start sees, nor beginnings."""
+    rng = np.random.default_rng(9)
+    seqs = [np.full(3, 1, np.uint16)] * 450 + [np.full(3, 2, np.uint16)] * 450 + [rng.integers(0, 8, 900).astype(np.uint16) for _ in range(3)]
+    got = lm_scoring.train(spark.createDataFrame([(bytearray(x.tobytes()),) for x in seqs], "classes binary"), 2, 8, 1)
+    want = lm_scoring.Hmm.random(2, 8)
+    for _ in range(lm_scoring.START_ROUNDS + 1):
+        want = lm_scoring.Hmm.from_counts(*lm_scoring.expect(want, seqs))
+    assert all(np.allclose(x, y) for x, y in ((got.start, want.start), (got.move, want.move), (got.emit, want.emit)))
+
+
 def test_scores_without_training_rows(spark):
     held = [i for i in range(100) if fold(i) == 1][:2]
     out = lm_scoring.score(documents(spark, ["a b", None], held)).collect()
