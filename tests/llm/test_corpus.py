@@ -137,6 +137,24 @@ def test_near_duplicates(spark, block, monkeypatch):
     assert got == want
 
 
+def test_near_dedup_stage_at_80(spark):
+    """The pipeline's stage joins pairs from 0.80 to 0.85 too, as brute force does at 80."""
+    import corpus_pipeline
+
+    texts = [t for k in range(30) for t in family(2, 200, 1 + k % 3, 100 + k)] + [prose(100, 70)]
+    sets = [shingles(t) for t in texts]
+    up = list(range(len(texts)))
+    between = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both, all_ = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        between += 80 * all_ <= 100 * both < 85 * all_
+        if 100 * both >= 80 * all_:
+            up[:] = [up[a] if x == up[b] else x for x in up]
+    want = sorted(min(k for k in range(len(texts)) if up[k] == root) for root in set(up))
+    assert between
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(spark, texts), "").collect()) == want
+
+
 def test_near_duplicates_repeated_rows(spark):
     t = prose(50, 1)
     d = documents(spark, [t, t, prose(50, 2), None], [5, 5, 5, 6], extra=True)
