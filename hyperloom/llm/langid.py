@@ -1,17 +1,19 @@
 """Language ID by segmentation-marginalised unigrams over a fixed public vocabulary.
 
-Every language has a probability for each piece of the vocabulary (and for each
-single byte). A word's probability under a language is the sum over all its
-segmentations into pieces of the product of the pieces' probabilities, by a
-forward recursion over byte positions; pieces never cross blanks, so a text's
-log probability is the sum over its words. The best language wins; ``score`` is
-its posterior under equal priors.
+Every language has a probability for each piece of the vocabulary (A-Z lower-cased, without its space mark) and for each single byte. A word's probability under
+a language is the sum over all its segmentations into pieces, of any length, of
+the product of the pieces' probabilities, by a forward recursion over byte
+positions; pieces never cross blanks, so a text's log probability is the sum
+over its words. The best language wins; ``score`` is its posterior under equal
+priors.
 
 Training: expectation-maximisation of the piece probabilities over word counts
 of at most ``TRAIN_DOCS`` labelled texts for each language (the first by hash of
-doc_id; whole texts, words of any length), counted by Spark and fitted on the
-driver; ``ROUNDS`` rounds from uniform probabilities. All languages are learned; a
-language is a column of about 170 KB in the broadcast matrix.
+doc_id, then of the text; repeated rows are one; whole texts, words of any
+length), a task for each language; ``ROUNDS`` rounds from uniform probabilities.
+The sample is chosen by hashes in two steps, so neither texts nor all rows of a
+language meet in one task. All languages are learned; a language is a column of
+about 180 KB in the broadcast matrix.
 
 Prediction: distinct words of a run of texts are scored once, under ``LANGS``
 languages at a time; words that a worker has seen lately are looked up
@@ -36,47 +38,61 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, LOWER, is_fold, prefix_hash, span_hash, steps, text_buffers, words_of
+from .common import BLANK, LOWER, cut, is_fold, prefix_hash, span_hash, steps, text_buffers, words_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_PIECE = 10
-TRAIN_DOCS, ROUNDS = 300, 4
+TRAIN_DOCS, ROUNDS, SALTS = 300, 4, 64
 CACHE, LANGS = 1 << 18, 16
 #: Pseudo-count of every piece in every language.
 SMOOTH = 0.05
 
 
+class Pieces:
+    """The vocabulary's pieces of 2 bytes or more (ids from 256; single bytes are ids 0..255) and their prefixes, by length and hash."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts = sorted({t for t in texts if len(t) > 1})
+        self.n = 256 + len(self.texts)
+        ids = {t: 256 + k for k, t in enumerate(self.texts)}
+        self.longest = max(map(len, self.texts), default=1)
+        #: For each length, the sorted hashes of all prefixes of that length, and the piece that a prefix is (or -1).
+        self.tables = []
+        for n in range(2, self.longest + 1):
+            own = sorted({t[:n] for t in self.texts if len(t) >= n})
+            at = n * np.arange(len(own) + 1)
+            h = span_hash(prefix_hash(np.frombuffer(b"".join(own), np.uint8)), at[:-1], at[1:])
+            o = np.argsort(h)
+            self.tables.append((h[o], np.array([ids.get(t, -1) for t in own], np.int64)[o]))
+
+
 @lru_cache(maxsize=2)
-def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, ids) of the vocabulary's pieces of 2..MAX_PIECE bytes; single bytes are ids 0..255."""
+def pieces(path: str) -> Pieces:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    texts = {sp.id_to_piece(i).replace("▁", "").lower().encode() for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    texts = sorted(t for t in texts if 2 <= len(t) <= MAX_PIECE)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    h = span_hash(prefix_hash(data), at[:-1], at[1:])
-    o = np.argsort(h)
-    return h[o], (o + 256).astype(np.int64)
+    return Pieces([sp.id_to_piece(i).replace("▁", "").encode().lower() for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))])
 
 
-def lattice(data: np.ndarray, start: np.ndarray, end: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def lattice(data: np.ndarray, start: np.ndarray, end: np.ndarray, known: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All edges of the words' lattices: (word, from, to, piece), ``from`` and ``to`` relative to the word."""
-    keys, ids = pieces(path)
     h = prefix_hash(data)
     size = end - start
     word = np.repeat(np.arange(len(start)), size)
     p = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
     at, left = start[word] + p, size[word] - p
     out = [(word, p, p + 1, data[at].astype(np.int64))]
-    for n in range(2, MAX_PIECE + 1):
-        f = np.flatnonzero(left >= n)
+    f = np.arange(len(word))
+    for n, (keys, ids) in enumerate(known.tables, 2):
+        f = f[left[f] >= n]
+        if not len(f):
+            break
         x = span_hash(h, at[f], at[f] + n)
         k = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-        hit = keys[k] == x
-        f = f[hit]
-        out.append((word[f], p[f], p[f] + n, ids[k[hit]]))
+        on = keys[k] == x  # only what some longer piece begins with is looked at further
+        f, k = f[on], k[on]
+        hit = ids[k] >= 0
+        g = f[hit]
+        out.append((word[g], p[g], p[g] + n, ids[k[hit]]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -85,32 +101,33 @@ def _by_step(key: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, list[np.nd
     return np.searchsorted(key[o], np.arange(int(key.max()) + 2 if len(key) else 1)), [c[o] for c in cols]
 
 
-def word_scores(data: np.ndarray, start: np.ndarray, end: np.ndarray, prob: np.ndarray, path: str) -> np.ndarray:
+def word_scores(data: np.ndarray, start: np.ndarray, end: np.ndarray, prob: np.ndarray, known: Pieces) -> np.ndarray:
     """Natural log of each word's probability under each language (rows: words). ``prob``: pieces x languages."""
     n, langs = len(start), prob.shape[1]
     out = np.zeros((n, langs))
     size = end - start
     for rows in _groups(size):
-        word, a, b, piece = lattice(data, start[rows], end[rows], path)
+        word, a, b, piece = lattice(data, start[rows], end[rows], known)
         at, (word, a, piece) = _by_step(b, word, a, piece)
         longest = int(size[rows].max())
-        alpha = np.zeros((MAX_PIECE + 1, len(rows), langs))  # of the last positions, in turn
+        turn = min(known.longest, longest) + 1
+        alpha = np.zeros((turn, len(rows), langs))  # of the last positions, in turn
         alpha[0] = 1
         scale = np.zeros(len(rows))
         for t in range(1, longest + 1):
             x, y = at[t], at[t + 1]
             w = word[x:y]
-            part = alpha[a[x:y] % (MAX_PIECE + 1), w] * prob[piece[x:y]]
+            part = alpha[a[x:y] % turn, w] * prob[piece[x:y]]
             new = np.zeros((len(rows), langs))
             for k in range(langs):
                 new[:, k] = np.bincount(w, part[:, k], minlength=len(rows))
-            alpha[t % (MAX_PIECE + 1)] = new
+            alpha[t % turn] = new
             low = np.flatnonzero((new.max(axis=1) < 1e-100) & (new.max(axis=1) > 0))
             if len(low):  # keep within range: all positions of the word share one scale
                 alpha[:, low] *= 1e100
                 scale[low] -= np.log(1e100)
             done = np.flatnonzero(size[rows] == t)
-            out[rows[done]] = np.log(np.maximum(alpha[t % (MAX_PIECE + 1), done], 1e-300)) + scale[done, None]
+            out[rows[done]] = np.log(np.maximum(alpha[t % turn, done], 1e-300)) + scale[done, None]
     return out
 
 
@@ -125,7 +142,7 @@ def _groups(size: np.ndarray, most: int = 1 << 18) -> Iterator[np.ndarray]:
         at = stop
 
 
-def piece_counts(data: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.ndarray, prob: np.ndarray, path: str) -> np.ndarray:
+def piece_counts(data: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.ndarray, prob: np.ndarray, known: Pieces) -> np.ndarray:
     """Expected number of times that each piece is used, words weighted (one language: ``prob`` is a vector).
 
     Sums over beginnings and ends are kept as logarithms, so a word may have any length.
@@ -134,7 +151,7 @@ def piece_counts(data: np.ndarray, start: np.ndarray, end: np.ndarray, weight: n
     size = end - start
     for rows in _groups(size):
         lo, hi = int(start[rows].min()), int(end[rows].max())
-        word, a, b, piece = lattice(data[lo:hi], start[rows] - lo, end[rows] - lo, path)
+        word, a, b, piece = lattice(data[lo:hi], start[rows] - lo, end[rows] - lo, known)
         longest = int(size[rows].max())
         ahead = np.zeros((longest + 1, len(rows)))
         at, (w, i, q) = _by_step(b, word, a, piece)
@@ -168,26 +185,45 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("lang", "text").mapInArrow(run, "lang string, word binary").groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
+def sample(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
+    """lang, text of the rows to learn from: ``most`` different ones for each language."""
+    own = docs.filter(~is_fold("doc_id", 0) & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    own = own.select("lang", "text", F.xxhash64("doc_id", F.lit(29)).alias("__h"), F.xxhash64("text", F.lit(31)).alias("__t"))
+    # the first by hash: of each share of a language, then of those; hashes only, the partial steps keep ``most`` rows a task
+    first = own.select("lang", "__h", "__t", F.pmod("__t", F.lit(SALTS)).alias("salt"))
+    for by in (("lang", "salt"), ("lang",)):
+        first = first.withColumn("n", F.dense_rank().over(Window.partitionBy(*by).orderBy("__h", "__t"))).filter(F.col("n") <= most).drop("n").distinct()
+    chosen = own.join(first.drop("salt"), ["lang", "__h", "__t"], "left_semi")
+    return chosen.dropDuplicates(["lang", "__h", "__t"]).select("lang", "text")
+
+
+def learn(words: pa.Array, n: np.ndarray, known: Pieces, rounds: int = ROUNDS) -> np.ndarray:
+    """The piece probabilities of one language from its words (bytes) and their counts."""
+    order = np.lexsort((np.arange(len(words)), np.asarray(pc.binary_length(words))))
+    data, offs = text_buffers(words.take(pa.array(order)))
+    data, offs = data[offs[0] : offs[-1]], offs - offs[0]
+    prob = np.full(known.n, 1 / known.n)
+    for _ in range(rounds):
+        c = piece_counts(data, offs[:-1], offs[1:], n[order], prob, known) + SMOOTH
+        prob = c / c.sum()
+    return prob
+
+
 def fit(docs: DataFrame, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
     """Languages in code-point order, and pieces x languages probabilities."""
-    own = docs.filter(~is_fold("doc_id", 0) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    langs = sorted(r["lang"] for r in own.select("lang").distinct().collect())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(29)), "text")
-    own = own.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= TRAIN_DOCS)
-    n_pieces = 256 + len(pieces(path)[0])
-    prob = np.full((n_pieces, len(langs)), 1 / n_pieces)
-    counts = word_counts(own).toArrow() if langs else None
-    for k, lang in enumerate(langs):
-        part = counts.filter(pc.equal(counts.column("lang"), lang))
-        if not part.num_rows:
-            continue
-        part = part.append_column("size", pc.binary_length(part.column("word"))).sort_by([("size", "ascending"), ("word", "ascending")])
-        data, offs = text_buffers(part.column("word"))
-        n = np.asarray(part.column("n"), float)
-        for _ in range(ROUNDS):
-            c = piece_counts(data, offs[:-1], offs[1:], n, prob[:, k], path) + SMOOTH
-            prob[:, k] = c / c.sum()
-    return langs, prob
+    vocabulary = docs.sparkSession.sparkContext.broadcast(pieces(path))
+    texts = cut(sample(docs))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("word")
+        prob = learn(t.column("word").combine_chunks(), np.asarray(t.column("n"), float), vocabulary.value)
+        return pa.table({"lang": t.column("lang").slice(0, 1), "prob": pa.array([prob.tolist()], pa.list_(pa.float64()))})
+
+    got = {r["lang"]: r["prob"] for r in word_counts(texts).groupBy("lang").applyInArrow(run, "lang string, prob array<double>").collect()}
+    # a language whose texts have no words is learned as uniform
+    langs = sorted(r["lang"] for r in texts.select("lang").distinct().collect())
+    n = vocabulary.value.n
+    return langs, np.array([got.get(lang) or [1 / n] * n for lang in langs]).reshape(len(langs), n).T
 
 
 _letters = r"\p{L}"
@@ -214,10 +250,10 @@ def _looked_up(h: np.ndarray, known: np.ndarray, value: np.ndarray, most: int, s
 def predict(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """docs(doc_id, text, lang) -> doc_id, held_out, lang_pred, score."""
     langs, prob = fit(docs.select("doc_id", "text", "lang"), path)
-    model = docs.sparkSession.sparkContext.broadcast((langs, prob))
+    model = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(prob), pieces(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, prob = model.value
+        langs, prob, known = model.value
         blocks = [slice(k, min(k + LANGS, len(langs))) for k in range(0, len(langs), LANGS)]
         seen = [(np.zeros(0, np.uint64), np.zeros((0, b.stop - b.start))) for b in blocks]
         for batch in batches:
@@ -229,7 +265,7 @@ def predict(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 h, one, inv = np.unique(span_hash(prefix_hash(low), s, e), return_index=True, return_inverse=True)
                 total = np.zeros((rows, max(1, len(langs))))
                 for k, block in enumerate(blocks):
-                    got, seen[k] = _looked_up(h, *seen[k], CACHE // len(blocks), lambda new: word_scores(low, s[one[new]], e[one[new]], prob[:, block], path))  # noqa: B023
+                    got, seen[k] = _looked_up(h, *seen[k], CACHE // len(blocks), lambda new: word_scores(low, s[one[new]], e[one[new]], prob[:, block], known))  # noqa: B023
                     for j in range(got.shape[1]):
                         total[:, block.start + j] = np.bincount(doc, got[inv, j], minlength=rows)
                 best = total.argmax(axis=1)
