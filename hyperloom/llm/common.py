@@ -112,6 +112,24 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(x)
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``span_hash`` of ascending spans that don't overlap, in steps: memory is that of STEP_BYTES of text, whatever the text or a span."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        a, b = int(start[i]), int(end[i])
+        if b - a > STEP_BYTES:
+            total = sum(int(prefix_hash(data[x : min(b, x + STEP_BYTES)])[-1]) * pow(int(_BASE), x - a, 1 << 64) for x in range(a, b, STEP_BYTES))
+            whole = np.array([0, total % (1 << 64)], np.uint64)
+            out[i] = mix(whole[1:] + np.array([b - a], np.uint64) * U(0x9FB21C651E98DF25))[0]
+            i += 1
+            continue
+        j = max(i + 1, int(np.searchsorted(end, a + STEP_BYTES, "right")))
+        h = prefix_hash(data[a : end[j - 1]])
+        out[i:j] = span_hash(h, start[i:j] - a, end[i:j] - a)
+        i = j
+    return out
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -155,9 +173,10 @@ def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Sums of ``flags`` (one per byte) for each row."""
-    c = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=c[1:])
-    return c[offs[1:]] - c[offs[:-1]]
+    out, some = np.zeros(len(offs) - 1, np.int64), np.flatnonzero(offs[1:] > offs[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(flags.view(np.uint8), offs[some], dtype=np.int64)
+    return out
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
