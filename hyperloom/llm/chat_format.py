@@ -1,8 +1,11 @@
 """Chat formatting by schema fingerprints.
 
-A record is JSON. Its nested field paths (array steps as ``[]``) are hashed; the
-fingerprint selects a declarative mapping, which turns the layout into canonical
-(role, text) turns. The template marks turns as
+A record is JSON. Those of its nested field paths (array steps as ``[]``) that
+some layout knows are hashed; the fingerprint selects a declarative mapping,
+which turns the layout into canonical (role, text) turns. So fields that no
+layout knows don't matter, and optional ones may be missing. A fingerprint that
+is met for the first time is resolved once: of the layouts whose required paths
+the record has, that with the most, the first on ties. The template marks turns as
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
@@ -16,9 +19,14 @@ Arrow batch.
 
 Defined results: null text is empty, null role is the empty role; turns of one
 conversation follow turn, then role, then text (null turn first); rows of a null
-conv_id are one conversation; a record of unknown layout raises nothing and
-yields one turn of role ``unmapped`` with its JSON as text; an empty table gives
-an empty result; other columns are ignored.
+conv_id are one conversation; a record of unknown layout (and a null one) yields
+one turn of role ``unmapped`` with its JSON as text, as does an item of a list of
+turns that is no object; a payload that is no JSON yields one turn of role
+``malformed`` with the payload as text; an empty list of turns yields none; a
+missing role or text is empty, one that is no string is its JSON, a list of
+parts with texts is these texts; half of a surrogate pair becomes U+FFFD; very
+long texts and repeated rows are no special case; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,49 +73,100 @@ def read_back(formatted: str) -> list[tuple[str, str, int, int]]:
     return [(unescape_role(m[1]), unescape(m[2]), m.start(2), m.end(2)) for m in _turn.finditer(formatted)]
 
 
-def field_paths(x, at: str = "") -> set[str]:
+def field_paths(record) -> set[str]:
     """Nested field paths of parsed JSON, array steps as []."""
-    if isinstance(x, dict):
-        return set().union(*({f"{at}.{k}".lstrip(".")} | field_paths(v, f"{at}.{k}") for k, v in x.items()), set())
-    if isinstance(x, list):
-        return set().union(*(field_paths(v, f"{at}[]") for v in x), set())
-    return set()
+    out, left = set(), [("", record)]
+    while left:
+        at, x = left.pop()
+        if isinstance(x, dict):
+            for k, v in x.items():
+                out.add(path := f"{at}.{k}" if at else k)
+                left.append((path, v))
+        elif isinstance(x, list):
+            left += [(f"{at}[]", v) for v in x]
+    return out
 
 
 def fingerprint(paths) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
-#: Layouts: field paths -> how turns are read. ``each``: the list that holds a turn per
-#: item, with its role and text fields; ``roles`` renames; ``turns``: fixed (role, fields).
+#: Layouts: the field paths that one needs and may have, and how turns are read. ``each``: the
+#: list that holds a turn per item, and the names under which an item has its role and its text;
+#: ``roles`` renames; ``turns``: fixed (role, fields), a role that begins with $ being a field.
 LAYOUTS = [
     {"paths": ("role", "text"), "turns": [("$role", ("text",))]},
-    {"paths": ("messages", "messages[].role", "messages[].content"), "each": ("messages", "role", "content")},
-    {"paths": ("messages", "messages[].role", "messages[].text"), "each": ("messages", "role", "text")},
-    {"paths": ("conversations", "conversations[].from", "conversations[].value"), "each": ("conversations", "from", "value"), "roles": {"human": "user", "gpt": "assistant"}},
-    {"paths": ("instruction", "input", "output"), "turns": [("user", ("instruction", "input")), ("assistant", ("output",))]},
-    {"paths": ("instruction", "output"), "turns": [("user", ("instruction",)), ("assistant", ("output",))]},
-    {"paths": ("system", "instruction", "output"), "turns": [("system", ("system",)), ("user", ("instruction",)), ("assistant", ("output",))]},
-    {"paths": ("prompt", "completion"), "turns": [("user", ("prompt",)), ("assistant", ("completion",))]},
-    {"paths": ("prompt", "response"), "turns": [("user", ("prompt",)), ("assistant", ("response",))]},
-    {"paths": ("question", "answer"), "turns": [("user", ("question",)), ("assistant", ("answer",))]},
+    {"paths": ("role", "content"), "turns": [("$role", ("content",))]},
+    {"paths": ("messages",), "may": ("messages[].role", "messages[].content", "messages[].content[].text", "messages[].text", "system"), "first": ("system", "system"), "each": ("messages", ("role",), ("content", "text"))},
+    {"paths": ("conversations",), "may": ("conversations[].from", "conversations[].value", "conversations[].role", "conversations[].content", "system"), "first": ("system", "system"), "each": ("conversations", ("from", "role"), ("value", "content")), "roles": {"human": "user", "gpt": "assistant"}},
+    {"paths": ("instruction", "output"), "may": ("input", "system"), "turns": [("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))]},
+    {"paths": ("instruction", "response"), "may": ("input", "context", "system"), "turns": [("system", ("system",)), ("user", ("instruction", "input", "context")), ("assistant", ("response",))]},
+    {"paths": ("prompt", "completion"), "may": ("system",), "turns": [("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",))]},
+    {"paths": ("prompt", "response"), "may": ("system",), "turns": [("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))]},
+    {"paths": ("question", "answer"), "may": ("context", "system"), "turns": [("system", ("system",)), ("user", ("context", "question")), ("assistant", ("answer",))]},
 ]
-REGISTRY = {fingerprint(x["paths"]): x for x in LAYOUTS}
 
 
-def canonical(record, registry: dict | None = None) -> list[tuple[str, str]]:
+class Registry:
+    """Layouts by the fingerprints of the paths that they know."""
+
+    def __init__(self, layouts: list[dict]):
+        self.layouts = layouts
+        self.known = {p for x in layouts for p in (*x["paths"], *x.get("may", ()))}
+        self.by_print: dict[str, dict | None] = {}
+
+    def select(self, record) -> dict | None:
+        """The layout of a record, or None."""
+        own = field_paths(record) & self.known
+        mark = fingerprint(own)
+        if mark not in self.by_print:
+            fits = [x for x in self.layouts if own >= set(x["paths"])]
+            self.by_print[mark] = max(fits, key=lambda x: len(own & {*x["paths"], *x.get("may", ())}), default=None)
+        return self.by_print[mark]
+
+
+REGISTRY = Registry(LAYOUTS)
+
+
+def _as_text(v) -> str:
+    if isinstance(v, list) and v and all(isinstance(x, dict) and isinstance(x.get("text"), str) for x in v):
+        return "".join(x["text"] for x in v)
+    return "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+
+def canonical(record, registry: Registry | None = None) -> list[tuple[str, str]]:
     """Turns of one parsed record."""
-    how = (REGISTRY if registry is None else registry).get(fingerprint(field_paths(record)))
-    if how is None:
+    how = (registry or REGISTRY).select(record) if isinstance(record, dict) else None
+    if how is None or ("each" in how and not isinstance(record[how["each"][0]], list)):
         return [("unmapped", json.dumps(record, ensure_ascii=False))]
-    as_text = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    out = []
     if "each" in how:
-        items, role, text = how["each"]
-        return [(how.get("roles", {}).get(as_text(m.get(role)), as_text(m.get(role))), as_text(m.get(text))) for m in record[items]]
-    return [(as_text(record[r[1:]]) if r.startswith("$") else r, "\n".join(t for t in (as_text(record[f]) for f in fields) if t)) for r, fields in how["turns"]]
-
-
-def format_records(records: DataFrame, registry: dict | None = None) -> DataFrame:
+        items, roles, texts = how["each"]
+        if "first" in how and record.get(how["first"][1]) is not None:
+            out.append((how["first"][0], _as_text(record[how["first"][1]])))
+        for m in record[items]:
+            if not isinstance(m, dict):
+                out.append(("unmapped", json.dumps(m, ensure_ascii=False)))
+                continue
+            role, text = (next((_as_text(m[n]) for n in names if m.get(n) is not None), "") for names in (roles, texts))
+            out.append((how.get("roles", {}).get(role, role), text))
+        return out
+    for role, fields in how["turns"]:
+        if role.startswith("$") or any(f in how["paths"] or record.get(f) is not None for f in fields):  # an optional turn needs its field
+            out.append((_as_text(record[role[1:]]) if role.startswith("$") else role, "\n".join(t for t in (_as_text(record.get(f)) for f in fields) if t)))
+    return out
+
+
+def turns_of(payload: str | None, registry: Registry | None = None) -> list[tuple[str, str]]:
+    """Turns of one record as it stands."""
+    try:
+        got = canonical(None if payload is None else json.loads(payload), registry)
+    except (ValueError, RecursionError):
+        got = [("malformed", payload)]
+    return [tuple(x.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for x in turn) for turn in got]
+
+
+def format_records(records: DataFrame, registry: Registry | None = None) -> DataFrame:
     """records(conv_id, turn, payload JSON) -> conv_id, turn, part, role, text, formatted.
 
     One row per turn; ``part`` numbers the turns of one record. The formatted
@@ -117,7 +176,7 @@ def format_records(records: DataFrame, registry: dict | None = None) -> DataFram
         for b in batches:
             out: list[tuple] = []
             for conv, turn, payload in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                for part, (role, text) in enumerate(canonical(json.loads(payload) if payload is not None else None, registry)):
+                for part, (role, text) in enumerate(turns_of(payload, registry)):
                     out.append((conv, turn, part, role, text, format_turn(role, text)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 6, types, strict=True)], names=names)
 
