@@ -12,10 +12,10 @@ the trained parameters have a fixed size (``STATES`` x ``CLASSES`` and
 
     score = forward(classes of the text) + base_score - sum of log10 U(class).
 
-Training: Baum-Welch. Each partition runs scaled forward-backward recursions
-over its training texts and emits expected counts (state, class, count), which
-are summed before and after the shuffle; ``START_ROUNDS`` + ``ROUNDS`` rounds,
-each over all training texts, from a random model.
+Training: Baum-Welch. Each task runs scaled forward-backward recursions over its
+training texts and emits one vector of expected counts; vectors are added up in
+a tree, ``FAN_IN`` at a time. ``START_ROUNDS`` + ``ROUNDS`` rounds, each over all
+training texts, from a random model.
 Texts' classes are computed once and kept as bytes in a checkpoint.
 
 Base: word counts over all training texts by 64-bit word hash. The ``COMMON``
@@ -43,10 +43,12 @@ from .common import LOWER, U, cut, frequent, is_fold, prefix_hash, span_hash, st
 STATES, CLASSES, ROUNDS = 8, 4096, 3
 START_ROUNDS = 12
 COMMON = 1 << 18
+#: Bytes of classes that a task takes in a round, about; vectors of counts that are added up by one task, or by the driver.
+TASK_BYTES, FAN_IN = 16 << 20, 64
 #: The end of a text, as a word.
 END = np.int64(-6148914691236517206)
-#: Tokens that one forward or backward pass takes together, about.
-PASS_TOKENS = 1 << 18
+#: Tokens that one forward or backward pass takes together, about, and tokens whose probabilities are held at once.
+PASS_TOKENS, SEGMENT_TOKENS = 1 << 20, 1 << 16
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,11 +137,11 @@ def _runs(lengths: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _layout(seqs: list[np.ndarray], rows: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the rows (longest first), time by time; and how many rows are alive at each time."""
+    """Symbols of the rows (longest first), time by time; and where each time's symbols begin."""
     lengths = np.array([len(seqs[r]) + 1 for r in rows])
     alive = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
     at = np.concatenate(([0], np.cumsum(alive)))
-    sym = np.empty(at[-1], np.int64)
+    sym = np.empty(at[-1], np.int32)
     for k, r in enumerate(rows.tolist()):
         place = at[: lengths[k]] + k
         sym[place[:-1]] = seqs[r]
@@ -147,53 +149,89 @@ def _layout(seqs: list[np.ndarray], rows: np.ndarray, end: int) -> tuple[np.ndar
     return sym, at
 
 
+def _segments(at: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of times with about SEGMENT_TOKENS tokens each."""
+    out, lo, last = [], 0, len(at) - 1
+    while lo < last:
+        hi = min(last, max(lo + 1, int(np.searchsorted(at, at[lo] + SEGMENT_TOKENS, "right")) - 1))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def _ahead(hmm: Hmm, move_t: np.ndarray, emit: np.ndarray, sym: np.ndarray, at: np.ndarray, times: tuple[int, int], enter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward probabilities (states x tokens) of a run of times, the tokens' emissions and their scales."""
+    lo, hi = times
+    base = int(at[lo])
+    b = np.take(emit, sym[base : at[hi]], axis=1)
+    alpha, scale = np.empty_like(b), np.empty(b.shape[1], b.dtype)
+    prev, places = enter, (at[lo : hi + 1] - base).tolist()
+    for x, y in zip(places[:-1], places[1:], strict=True):
+        a = alpha[:, x:y]
+        np.multiply(hmm.start.astype(b.dtype)[:, None] if prev is None else move_t @ prev[:, : y - x], b[:, x:y], out=a)
+        c = scale[x:y]
+        np.add.reduce(a, axis=0, out=c)
+        np.divide(a, c, out=a)
+        prev = a
+    return alpha, b, scale
+
+
 def forward(hmm: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     """log10 likelihood of each sequence with its end, by the scaled forward recursion."""
     out = np.zeros(len(seqs))
-    emit, end = np.ascontiguousarray(hmm.emit.T), hmm.emit.shape[1] - 1
+    move_t, end = np.ascontiguousarray(hmm.move.T), hmm.emit.shape[1] - 1
     for rows in _runs(np.array([len(s) + 1 for s in seqs], np.int64)) if seqs else ():
         sym, at = _layout(seqs, rows, end)
-        ll = np.zeros(len(rows))
-        a = np.broadcast_to(hmm.start, (len(rows), len(hmm.start)))
-        for t in range(len(at) - 1):
-            n = at[t + 1] - at[t]
-            a = (a[:n] @ hmm.move if t else a[:n]) * emit[sym[at[t] : at[t + 1]]]
-            c = a.sum(axis=1)
-            a = a / c[:, None]
-            ll[:n] += np.log10(c)
+        ll, enter = np.zeros(len(rows)), None
+        for lo, hi in _segments(at):
+            alpha, _, scale = _ahead(hmm, move_t, hmm.emit, sym, at, (lo, hi), enter)
+            np.log10(scale, out=scale)
+            places = (at[lo : hi + 1] - at[lo]).tolist()
+            for x, y in zip(places[:-1], places[1:], strict=True):
+                ll[: y - x] += scale[x:y]
+            enter = alpha[:, places[-2] :].copy()
         out[rows] = ll
     return out
 
 
 def expect(hmm: Hmm, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (start, move, emit) of one Baum-Welch step over the sequences."""
+    """Expected counts (start, move, emit) of one Baum-Welch step over the sequences.
+
+    Probabilities are 32-bit (they are scaled at every token), sums 64-bit. Only
+    the states that enter a run of times are kept over a sequence; the rest is
+    computed again on the way back, so memory does not grow with its length
+    but for the symbols and one vector for each ``SEGMENT_TOKENS`` tokens.
+    """
     k, m = hmm.emit.shape
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, m))
-    by_class = np.ascontiguousarray(hmm.emit.T)
+    by_class, forth = hmm.emit.astype(np.float32), hmm.move.astype(np.float32)
+    move_t = np.ascontiguousarray(forth.T)
     for rows in _runs(np.array([len(s) + 1 for s in seqs], np.int64)) if seqs else ():
         sym, at = _layout(seqs, rows, m - 1)
-        b = by_class[sym]
-        alpha, scale = np.empty((len(sym), k)), np.empty(len(sym))
-        for t in range(len(at) - 1):
-            x, y = at[t], at[t + 1]
-            a = (alpha[at[t - 1] : at[t - 1] + y - x] @ hmm.move if t else hmm.start) * b[x:y]
-            scale[x:y] = c = a.sum(axis=1)
-            np.divide(a, c[:, None], out=alpha[x:y])
-        beta = np.ones((0, k))
-        for t in range(len(at) - 2, -1, -1):
-            x, y = at[t], at[t + 1]
-            n = len(beta)
-            now = np.ones((y - x, k))
-            if n:
-                z = y + n
-                ahead = b[y:z] * beta / scale[y:z, None]
-                move += hmm.move * (alpha[x : x + n].T @ ahead)
-                now[:n] = ahead @ hmm.move.T
-            beta = now
-            alpha[x:y] *= beta  # the state's probability at this time
-        start += alpha[: at[1]].sum(axis=0)
-        for s in range(k):
-            emit[s] += np.bincount(sym, alpha[:, s], minlength=m)
+        times, entries = _segments(at), [None]
+        for part in times[:-1]:
+            alpha = _ahead(hmm, move_t, by_class, sym, at, part, entries[-1])[0]
+            entries.append(alpha[:, at[part[1] - 1] - at[part[0]] :].copy())
+        beta, after = np.ones((k, len(rows)), np.float32), np.zeros((k, 0), np.float32)  # after: scaled emissions of the next time
+        for (lo, hi), enter in zip(reversed(times), reversed(entries), strict=True):
+            alpha, b, scale = _ahead(hmm, move_t, by_class, sym, at, (lo, hi), enter)
+            b /= scale
+            places, pairs = (at[lo : hi + 1] - at[lo]).tolist(), np.zeros((k, k), np.float32)
+            for x, y in zip(reversed(places[:-1]), reversed(places[1:]), strict=True):
+                n = after.shape[1]
+                if n:
+                    w = after * beta[:, :n]
+                    pairs += alpha[:, x : x + n] @ w.T
+                    beta[:, :n] = forth @ w
+                alpha[:, x:y] *= beta[:, : y - x]  # the state's probability at this time
+                after = b[:, x:y]
+            after = after.copy()
+            move += hmm.move * pairs
+            if lo == 0:
+                start += alpha[:, : at[1]].sum(axis=1, dtype=np.float64)
+            own = sym[at[lo] : at[hi]]
+            for s in range(k):
+                emit[s] += np.bincount(own, alpha[s], minlength=m)
     return start, move, emit
 
 
@@ -201,32 +239,45 @@ def _sequences(col: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint16) for x in col]
 
 
-def _baum_welch(prepared: DataFrame, hmm: Hmm) -> Hmm:
-    """One round over all partitions."""
+def _baum_welch(prepared: DataFrame, hmm: Hmm, tasks: int) -> Hmm:
+    """One round over all partitions, ``tasks`` at most: a vector of counts from each, added up FAN_IN at a time."""
     k, m = hmm.emit.shape
     model = prepared.sparkSession.sparkContext.broadcast((hmm.start, hmm.move, hmm.emit))
+    flat = lambda counts: np.concatenate([x.reshape(-1) for x in counts])
+    row = lambda x: pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes()], pa.binary())], names=["counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = Hmm(*model.value), None
         for batch in batches:
-            got = expect(own, _sequences(batch.column("classes")))
-            total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
+            got = flat(expect(own, _sequences(batch.column("classes"))))
+            total = got if total is None else total + got
+        if total is not None:
+            yield row(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column("counts"):
+                own = np.frombuffer(x.as_buffer(), "<f4").astype(float)
+                total = own if total is None else total + own
         if total is not None:
-            flat = np.concatenate([x.reshape(-1) for x in total])
-            at = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["at", "n"])
+            yield row(total)
 
-    got = prepared.mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    got = prepared.coalesce(tasks).mapInArrow(run, "counts binary")
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        got = got.repartition(tasks).mapInArrow(add, "counts binary")
+    total = sum(np.frombuffer(r["counts"], "<f4").astype(float) for r in got.collect())  # FAN_IN rows at most
     model.destroy()
-    flat = np.zeros(k + k * k + k * m)
-    flat[got["at"].to_numpy()] = got["n"].to_numpy()
-    return Hmm.from_counts(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(k, m))
+    return Hmm.from_counts(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k :].reshape(k, m))
 
 
 def train(prepared: DataFrame, states: int = STATES, classes: int = CLASSES, rounds: int = ROUNDS) -> Hmm:
     hmm = Hmm.random(states, classes)
-    for _ in range(0 if prepared.isEmpty() else START_ROUNDS + rounds):
-        hmm = _baum_welch(prepared, hmm)
+    n_bytes = prepared.agg(F.sum(F.octet_length("classes") + F.lit(2).cast("long"))).first()[0]
+    tasks = max(2 * prepared.sparkSession.sparkContext.defaultParallelism, (n_bytes or 0) // TASK_BYTES)
+    for _ in range(0 if n_bytes is None else START_ROUNDS + rounds):
+        hmm = _baum_welch(prepared, hmm, tasks)
     return hmm
 
 
