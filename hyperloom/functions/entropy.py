@@ -75,6 +75,12 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 
 
+def unit(v: Column) -> Column:
+    """A vector at length 1; a zero vector stays as it is."""
+    n = F.when(norm(v) == 0, 1.0).otherwise(norm(v))
+    return F.transform(v, lambda x: x / n)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors; a zero vector counts as of length 1."""
     safe = lambda v: F.when(norm(v) == 0, 1.0).otherwise(norm(v))

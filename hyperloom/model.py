@@ -65,8 +65,17 @@ def incidence(edges: DataFrame, *keep: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that the cluster shares (spark.checkpoint.dir); an own one only where that is unset."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-checkpoint-"))
+    """Cut lineage in the folder that the cluster shares (spark.checkpoint.dir)."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all of the cluster shares: spark.checkpoint.dir. An own one is made only on one machine."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if named is None and not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loom-checkpoint-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()

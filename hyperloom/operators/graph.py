@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import incidence
+from ..model import checkpoint, incidence
 
 
 def line_graph(edges: DataFrame) -> DataFrame:
@@ -42,6 +46,22 @@ def cycles(pairs: DataFrame, length: int) -> DataFrame:
     return ends.join(pairs, ["a", "b"], "left_semi").select(F.array_sort("path").alias("members")).distinct()
 
 
+def find_cycles(edges: DataFrame, min_length: int = 3, max_length: int = 4) -> DataFrame:
+    """length, members: the edge sets of simple closed cycles of the line graph, from min_length to max_length edges.
+
+    A cycle of two edges is a pair that shares a node; cycles of one set count
+    once. Work grows with the number of paths, so the greatest length is the
+    caller's bound.
+    """
+    pairs = checkpoint(line_graph(edges))
+    out = None
+    for n in range(max(2, min_length), max_length + 1):
+        found = pairs.select(F.array("a", "b").alias("members")) if n == 2 else cycles(pairs, n)
+        found = found.select(F.lit(n).alias("length"), "members")
+        out = found if out is None else out.union(found)
+    return out if out is not None else pairs.select(F.lit(0).alias("length"), F.array("a").alias("members")).limit(0)
+
+
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
@@ -97,12 +117,27 @@ def preview(edges: DataFrame, n: int = 10) -> DataFrame:
 
 
 def identity_hash(nodes: DataFrame) -> DataFrame:
-    """n, hash: 8 hex digits of the MD5 of all ids in order (a digest of a total order: for graphs of one machine's size)."""
-    ids = F.array_join(F.array_sort(F.collect_list("node_id")), "")
-    return nodes.agg(F.count("*").alias("n"), F.substring(F.md5(ids), 1, 8).alias("hash"))
-
+    """n, hash: 8 hex digits of the MD5 of all ids in order.
 
-def estimated_size(edges: DataFrame) -> DataFrame:
-    """edges, bytes: the text of ids, predicates and members."""
-    members = F.aggregate("nodes", F.lit(0), lambda a, x: a + F.octet_length(x))
-    return edges.agg(F.count("*").alias("edges"), F.sum(F.octet_length("edge_id") + F.octet_length("predicate") + members).alias("bytes"))
+    A digest of a total order is sequential: sorted ranges stream through one
+    task, which holds nothing but the state of the hash.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, h = 0, hashlib.md5(usedforsecurity=False)
+        for b in batches:
+            n += b.num_rows
+            for x in b.column(0).drop_null().cast(pa.binary()):
+                h.update(x.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([h.hexdigest()[:8]])], names=["n", "hash"])
+
+    return nodes.select("node_id").orderBy("node_id").coalesce(1).mapInArrow(run, "n long, hash string")
+
+
+def estimated_size(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """edges, bytes (and nodes): the graph as JSON text; an edge or node without id counts by the flat estimate of 80 or 50 bytes."""
+    size = lambda cols, flat: F.sum(F.when(F.col(cols[0]).isNull(), F.lit(flat)).otherwise(F.octet_length(F.to_json(F.struct(*cols)))).cast("long"))
+    e = edges.agg(F.count("*").alias("edges"), F.coalesce(size(["edge_id", "nodes", "predicate", "I_value"], 80), F.lit(0)).alias("bytes"))
+    if nodes is None:
+        return e
+    n = nodes.agg(F.count("*").alias("nodes"), F.coalesce(size(["node_id", "attributes"], 50), F.lit(0)).alias("__more"))
+    return e.join(n).select("nodes", "edges", (F.col("bytes") + F.col("__more")).alias("bytes"))  # one row each

@@ -1,7 +1,8 @@
 """The knowledge base: patterns, matching, absorbing and rebuilding edges.
 
-Patterns are a small table (``MAX_PATTERNS`` at most, checked when made), so
-joins with them broadcast it.
+Patterns are a small table (``MAX_PATTERNS`` at most, checked when they are made,
+added or read). Joins with them carry no hint: Spark broadcasts the table where
+its size allows, and else joins by key.
 """
 
 from __future__ import annotations
@@ -57,9 +58,27 @@ def empty(spark: SparkSession) -> DataFrame:
 
 
 def add(kb: DataFrame, new: DataFrame) -> DataFrame:
-    """kb with the rows of ``new`` after its own."""
+    """kb with the rows of ``new`` after its own; MAX_PATTERNS at most."""
     last = kb.agg(F.coalesce(F.max("pat_pos") + 1, F.lit(0)).alias("n")).first()["n"]
-    return kb.unionByName(new.withColumn("pat_pos", F.col("pat_pos") + last))
+    return checked(kb.unionByName(new.withColumn("pat_pos", F.col("pat_pos") + last)))
+
+
+def checked(kb: DataFrame) -> DataFrame:
+    """kb, if it has no more than MAX_PATTERNS rows."""
+    if kb.limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns")
+    return kb
+
+
+def index(edges: DataFrame) -> DataFrame:
+    """k_predicate, k_arity, k_attrs, n, first: the canonical keys of edges, how many have each, and the least id."""
+    return edges.select("edge_id", *key()).groupBy("k_predicate", "k_arity", "k_attrs").agg(F.count("*").alias("n"), F.min("edge_id").alias("first"))
+
+
+def summary(kb: DataFrame, rounds: list[dict] | None = None) -> str:
+    """The number of patterns, and what each round of learning did, as text."""
+    lines = ["Knowledge base", f"  patterns: {kb.count()}", f"  rounds: {len(rounds or [])}"]
+    return "\n".join([*lines, *(f"  round {k}: mined {r['patterns_mined']}, added {r['added']}, skipped {r['skipped_duplicates']}" for k, r in enumerate(rounds or [], 1))])
 
 
 def key() -> list[Column]:
@@ -77,7 +96,7 @@ def first_by_key(kb: DataFrame) -> DataFrame:
 def match(edges: DataFrame, kb: DataFrame, keep: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
     """Edges with the pattern that they match (pattern_id, pattern_nodes)."""
     p = first_by_key(kb).select("k_predicate", "k_arity", "k_attrs", F.col("edge_id").alias("pattern_id"), F.col("nodes").alias("pattern_nodes"))
-    return edges.select("*", *key()).join(F.broadcast(p), ["k_predicate", "k_arity", "k_attrs"], how).drop("k_predicate", "k_arity", "k_attrs")
+    return edges.select("*", *key()).join(p, ["k_predicate", "k_arity", "k_attrs"], how).drop("k_predicate", "k_arity", "k_attrs")
 
 
 def unmatched(edges: DataFrame, kb: DataFrame | None) -> DataFrame:
@@ -85,23 +104,23 @@ def unmatched(edges: DataFrame, kb: DataFrame | None) -> DataFrame:
     if kb is None:
         return edges
     p = first_by_key(kb).select("k_predicate", "k_arity", "k_attrs")
-    return edges.select("*", *key()).join(F.broadcast(p), ["k_predicate", "k_arity", "k_attrs"], "left_anti").drop("k_predicate", "k_arity", "k_attrs")
+    return edges.select("*", *key()).join(p, ["k_predicate", "k_arity", "k_attrs"], "left_anti").drop("k_predicate", "k_arity", "k_attrs")
 
 
-def absorb(edges: DataFrame, kb: DataFrame, strict: bool = False) -> DataFrame:
-    """edge_id, pattern_id, node_mapping (pattern node -> node), and the fields that rebuilding needs."""
+def absorb(edges: DataFrame, kb: DataFrame, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """edge_id, pattern_id, node_mapping (pattern node -> node), and the fields that rebuilding needs (and the columns ``keep``)."""
     if strict and not unmatched(edges, kb).isEmpty():
         raise ValueError("an edge matches no pattern")
     m = match(edges, kb)
     mapping = F.map_from_arrays(F.array_sort("pattern_nodes"), F.array_sort("nodes"))
-    return m.select("edge_id", "pattern_id", mapping.alias("node_mapping"), "I_value", "base_weight", "dir_factor", "predicate")
+    return m.select("edge_id", "pattern_id", mapping.alias("node_mapping"), "I_value", "base_weight", "dir_factor", "predicate", *keep)
 
 
 def rebuild(records: DataFrame, kb: DataFrame) -> DataFrame:
     """records(idx, pattern_id, node_mapping, ..) -> edges; unknown patterns drop out, of equal pattern ids the last counts."""
     w = Window.partitionBy("edge_id").orderBy(F.desc("pat_pos"))
     last = kb.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(F.col("edge_id").alias("pattern_id"), "attr_types")
-    r = records.join(F.broadcast(last), "pattern_id")
+    r = records.join(last, "pattern_id")
     dist = F.lit(1.0) / (F.col("I_value") + F.lit(EPSILON)) * F.col("base_weight") * F.col("dir_factor")
     return r.select(F.concat(F.lit("reabsorbed_"), "pattern_id", F.lit("_"), F.col("idx").cast("string")).alias("edge_id"), sorted_set(F.map_values("node_mapping")).alias("nodes"), "predicate", "I_value", "base_weight", "dir_factor", dist.alias("d_sem"), "attr_types")
 

@@ -41,6 +41,9 @@ def correlations(edges: DataFrame, min_cooccur: int = 2) -> DataFrame:
     n = ap.groupBy("a").agg(F.count("*").alias("n"))
     both = ap.select("predicate", F.col("a").alias("attr_a")).join(ap.select("predicate", F.col("a").alias("attr_b")), "predicate").filter("attr_a < attr_b")
     c = both.groupBy("attr_a", "attr_b").agg(F.count("*").alias("cooccur_count")).filter(F.col("cooccur_count") >= min_cooccur)
+    if min_cooccur <= 0:  # pairs that no predicate has together count too: attribute names are a small set
+        x, y = n.select(F.col("a").alias("attr_a")), n.select(F.col("a").alias("attr_b"))
+        c = x.join(y, F.col("attr_a") < F.col("attr_b")).join(c, ["attr_a", "attr_b"], "left").withColumn("cooccur_count", F.coalesce("cooccur_count", F.lit(0)))
     c = c.join(n.select(F.col("a").alias("attr_a"), F.col("n").alias("na")), "attr_a").join(n.select(F.col("a").alias("attr_b"), F.col("n").alias("nb")), "attr_b")
     return c.select("attr_a", "attr_b", "cooccur_count", F.round(F.col("cooccur_count") / F.greatest("na", "nb"), 4).alias("support_ratio"))
 
@@ -72,6 +75,20 @@ def learn(kb: DataFrame, edges: DataFrame, min_support: int = MIN_SUPPORT, min_c
     return knowledge.add(kb, as_rows)
 
 
+def learn_report(kb: DataFrame, edges: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, order: str = "pos") -> tuple[DataFrame, dict]:
+    """kb with the new patterns of a graph, and what was mined, added and skipped, with the signatures before and after."""
+    found = to_patterns(edges, min_support, min_confidence, order=order)
+    after = learn(kb, edges, min_support, min_confidence, order)
+    mined, n, m = found.count(), kb.count(), after.count()
+    sig = lambda x: knowledge.signature(x)[:16]
+    return after, {"source_edges": edges.count(), "patterns_mined": mined, "patterns_before": n, "patterns_after": m, "added": m - n, "skipped_duplicates": mined - (m - n), "kb_sig_before": sig(kb), "kb_sig_after": sig(after)}
+
+
+def ordered_correlations(edges: DataFrame, min_cooccur: int = 2) -> DataFrame:
+    """The correlations, most frequent first."""
+    return correlations(edges, min_cooccur).orderBy(F.desc("cooccur_count"), "attr_a", "attr_b")
+
+
 def learn_graphs(kb: DataFrame, edges: DataFrame, graph: str, order: str = "pos") -> DataFrame:
     """kb with the new patterns of many graphs in one pass: of equal keys the first by (graph, number)."""
     found = to_patterns(edges, order=order, by=(graph,))

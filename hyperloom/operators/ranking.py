@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..model import checkpoint
 
+#: Steps of I_value that are counted apart to find how far down the top of a group reaches.
+BAR_STEPS = 4096
+
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with ``name``: the row's place (from 0) in the total order ``order``.
@@ -28,6 +31,29 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return ranked.withColumn(name, F.col("__row") + F.col("__before")).drop("__part", "__row", "__before")
 
 
-def top(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
-    """The first k rows in a total order, with ``rank``."""
-    return global_rank(df, order).filter(F.col("rank") < k)
+def group_rank(df: DataFrame, group: str, order: list[Column], name: str = "rank") -> DataFrame:
+    """df with ``name``: the row's place (from 0) within its group, however large a group is."""
+    ranked = global_rank(df, [F.asc(group), *order], "__at")
+    first = ranked.groupBy(F.col(group).alias("__g")).agg(F.min("__at").alias("__first"))
+    return ranked.join(first, F.col(group).eqNullSafe(F.col("__g"))).withColumn(name, F.col("__at") - F.col("__first")).drop("__at", "__first", "__g")
+
+
+def top_by(df: DataFrame, ratio: float, order: list[Column], group: str | None = None, by: str = "I_value") -> DataFrame:
+    """The first max(1, floor(rows * ratio)) rows of each group by falling ``by``, then ``order``; with ``rank`` (from 0).
+
+    Counts by steps of ``by`` show how far down each group's top reaches; only
+    the rows down to there are ordered.
+    """
+    g = F.col(group) if group is not None else F.lit(0)
+    # nulls come last, NaN first, as in a descending sort
+    step = F.when(F.col(by).isNull(), F.lit(-(1 << 62))).when(F.isnan(by), F.lit(1 << 62)).otherwise(F.floor(F.greatest(F.lit(-1e12), F.least(F.lit(1e12), F.col(by))) * BAR_STEPS))
+    d = df.withColumn("__group", g).withColumn("__step", step.cast("long"))
+    counts = checkpoint(d.groupBy("__group", "__step").agg(F.count("*").alias("n")))
+    sizes = counts.groupBy(F.col("__group").alias("__g")).agg(F.greatest(F.lit(1), F.floor(F.sum("n") * F.lit(float(ratio)))).alias("__k"))
+    down = Window.partitionBy("__group").orderBy(F.desc("__step")).rowsBetween(Window.unboundedPreceding, -1)
+    bars = counts.withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0))).join(sizes, F.col("__group").eqNullSafe(F.col("__g")))
+    bars = bars.filter(F.col("before") < F.col("__k")).groupBy(F.col("__g"), F.col("__k")).agg(F.min("__step").alias("__bar"))
+    near = d.join(bars, F.col("__group").eqNullSafe(F.col("__g"))).filter(F.col("__step") >= F.col("__bar")).drop("__g", "__step", "__bar")
+    full = [F.desc(by), *order]
+    ranked = global_rank(near, full) if group is None else group_rank(near, "__group", full)
+    return ranked.filter(F.col("rank") < F.col("__k")).drop("__group", "__k")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, entropy
-from ..model import KAPPA, THETA, with_defaults
+from ..model import KAPPA, THETA, sorted_set, with_defaults
 from ..operators import delta, features, graph, kernel, knowledge, learned, mining, partition, ranking, stages
 from ..sources import graphs as sources
 from ..streaming import streams
@@ -94,7 +94,13 @@ def ksnap_bounded(spark, d):
     return kernel.bounded(g.event_chain(spark, d), KAPPA, 2, ("user_id", "i"))
 
 
-@query()
+#: In a chain of triples an edge overlaps its neighbours in two nodes. The scan goes forward: what stands behind a seed joins
+#: in the first pass, one after the other; what stands before the first seed joins from the right, one a pass, ten at most.
+@query(with_(EVENTS, seeds("(select edge_id, user_id, i, value as I_value from ev)", "user_id, i")) + """,
+first as (select user_id, min(i) as f from seeds group by user_id),
+placed as (select edge_id, user_id, i, len(nodes) as size, row_number() over (order by user_id, i) - 1 as place from ev)
+select p.edge_id, (case when s.edge_id is not null then 0 when p.i > f then 1 else f - p.i end)::int as pass, place::bigint as place
+from placed p join first using (user_id) left join seeds s on s.edge_id = p.edge_id where s.edge_id is not null or size >= 2 and f - p.i <= 10""")
 def ksnap_exact(spark, d):
     return kernel.kernel(g.event_chain(spark, d, by_value=True), KAPPA, ("user_id", "i"), component=F.col("user_id").cast("string"))
 
@@ -152,12 +158,22 @@ def attr_types_from_nodes(spark, d):
     return knowledge.attr_types_of(g.knowledge_graph(spark, d), g.knowledge_nodes(spark, d)).withColumn("attr_types", text("attr_types"))
 
 
-@query("select 18 as patterns, 18 as keys, true as verified")
+_BUILTIN_ROWS = ", ".join(f"({k}, '{i}', '{p}', {n}, {sorted(a)})" for k, (i, p, n, a) in enumerate(knowledge.BUILTIN))
+
+
+@query(f"""with kb(pos, id, predicate, arity, attrs) as (values {_BUILTIN_ROWS}),
+t as (select *, '{{"I_value": 1.0, "attr_types": [' || array_to_string(list_transform(attrs, lambda x: '"' || x || '"'), ', ') || '], "base_weight": 1.0, "d_sem": 0.0, "dir_factor": 1.0, "edge_id": "' || id
+  || '", "nodes": [' || array_to_string(list_transform(range(arity), lambda j: '"n_' || chr(97 + j::int) || '"'), ', ') || '], "predicate": "' || predicate || '"}}' as j from kb)
+select count(*) as patterns, count(distinct (predicate, arity, attrs)) as keys, sha256('[' || string_agg(j, ', ' order by predicate, arity, attrs) || ']') as signature from t""")
 def kb_signature(spark, d):
     kb = knowledge.builtin(spark)
-    shuffled = knowledge.builtin(spark).withColumn("pat_pos", F.lit(100) - F.col("pat_pos"))
-    ok = knowledge.verify(kb, knowledge.signature(shuffled))
-    return kb.agg(F.count("*").cast("int").alias("patterns")).join(knowledge.first_by_key(kb).agg(F.count("*").cast("int").alias("keys"))).withColumn("verified", F.lit(ok))
+    shuffled = kb.withColumn("pat_pos", F.lit(100) - F.col("pat_pos"))
+    return kb.agg(F.count("*").alias("patterns")).join(knowledge.first_by_key(kb).agg(F.count("*").alias("keys"))).withColumn("signature", F.lit(knowledge.signature(shuffled)))  # one row each
+
+
+@query(with_(KG) + "select predicate as k_predicate, len(nodes) as k_arity, array_to_string(attr_types, ',') as k_attrs, count(*) as n, min(edge_id) as first from kg group by all")
+def key_index(spark, d):
+    return knowledge.index(g.knowledge_graph(spark, d)).withColumn("k_attrs", text("k_attrs")).withColumn("k_arity", F.col("k_arity").cast("long"))
 
 
 # ---------------------------------------------------------------- graph access and descriptions
@@ -271,19 +287,24 @@ def common_edges(spark, d):
     return old.select("edge_id").join(new.select("edge_id"), "edge_id", "left_semi")
 
 
-@query()
-def incremental_packet_roundtrip(spark, d):
-    """A change packet of the smaller graph: the new version comes back."""
+def _through_packet(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A later version of the smaller graph, read back from its change packet."""
     nodes = g.node_versions(spark, d)
     old = with_defaults(g.knowledge_graph(spark, d))
-    edges = old, old.filter("predicate <> 'part_of'").withColumn("I_value", F.when(F.col("predicate") == "is_a", 0.5).otherwise(F.col("I_value")))
-    packet = compress.compress_incremental((nodes[0], edges[0]), (nodes[1], edges[1]))
-    back = compress.decompress_incremental((nodes[0], edges[0]), packet)
-    left = delta.summary(delta.node_changes(back[0], nodes[1]), delta.edge_changes(back[1], edges[1]))
-    return left.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("differences"))
+    new = old.filter("predicate <> 'part_of'").withColumn("I_value", F.when(F.col("predicate") == "is_a", 0.5).otherwise(F.col("I_value")))
+    packet = compress.compress_incremental((nodes[0], old), (nodes[1], new))
+    return compress.decompress_incremental((nodes[0], old), packet)
 
 
-ORACLE_SQL["incremental_packet_roundtrip"] = "select 0::bigint as differences"
+@query(with_(KG) + "select edge_id, array_to_string(nodes, ',') as nodes, predicate, case when predicate = 'is_a' then 0.5::double else I_value end as I_value, array_to_string(attr_types, ',') as attr_types from kg where predicate <> 'part_of'")
+def incremental_packet_roundtrip(spark, d):
+    return _through_packet(spark, d)[1].select("edge_id", text("nodes").alias("nodes"), "predicate", "I_value", text("attr_types").alias("attr_types"))
+
+
+@query(with_(NEW_NODES) + "select node_id, name from later")
+def incremental_packet_nodes(spark, d):
+    return _through_packet(spark, d)[0].select("node_id", F.get_json_object(F.concat(F.lit('{"v":'), F.col("attributes")["name"], F.lit("}")), "$.v").alias("name"))
+
 
 # ---------------------------------------------------------------- mining and learning
 FREQ = """
@@ -381,6 +402,15 @@ def cycles_len4(spark, d):
     return graph.cycles(graph.line_graph(g.event_chain(spark, d)), 4).select(text("members").alias("members"))
 
 
+@query(with_(EVENTS, LINE) + """, three as (select distinct list_sort([x.a, x.b, y.b]) as m from line x join line y on x.b = y.a join line z on z.a = x.a and z.b = y.b),
+both_ as (select a as u, b as v from line union all select b, a from line),
+four as (select distinct list_sort([p.u, p.v, q.v, r.v]) as m from both_ p join both_ q on q.u = p.v join both_ r on r.u = q.v join both_ s on s.u = r.v and s.v = p.u
+  where p.u < p.v and p.u < q.v and p.u < r.v and p.v < r.v and q.v <> p.v and r.v <> p.v and r.v <> q.v)
+select 3 as length, array_to_string(m, ',') as members from three union all select 4, array_to_string(m, ',') from four""")
+def cycles_up_to_4(spark, d):
+    return graph.find_cycles(g.event_chain(spark, d), 3, 4).withColumn("members", text("members"))
+
+
 # ---------------------------------------------------------------- triples and feature graphs
 @query("""select distinct 'kg:edge:c' || o_custkey || ':ordered:o' || o_orderkey as edge_id, array_to_string(list_sort(['c' || o_custkey, 'o' || o_orderkey]), ',') as nodes, 'ordered' as predicate from orders""")
 def triples_to_edges(spark, d):
@@ -404,15 +434,24 @@ def temporal_edges(spark, d):
 
 @query("""with s as (select user_id % 4 as series, row_number() over (partition by user_id % 4 order by event_id) - 1 as pos, value - 50 as value from events),
 w as (select *, pos // 64 as win, lag(value) over (partition by series, pos // 64 order by pos) as before from s),
-f as (select series, win, count(*) as n, avg(value * value) as energy, sum(case when before * value < 0 then 1 else 0 end) / count(*)::double as zcr from w where win < 512 group by series, win having count(*) >= 32)
+f as (select series, win, count(*) as n, avg(value * value) as energy, sum(case when before * value < 0 then 1 else 0 end) / count(*)::double as zcr from w group by series, win having count(*) >= 32)
 select series, win, n, round(energy, 6) as energy, round(zcr, 6) as zcr from f""")
 def window_energy_zcr(spark, d):
-    w = Window.partitionBy("series").orderBy("event_id")
-    s = g.table(spark, d, "events").withColumn("series", F.col("user_id") % 4).withColumn("pos", F.row_number().over(w) - 1).select("series", "pos", (F.col("value") - 50).alias("value"))
-    # all windows: the SQL's bound (win < 512) cuts nothing as long as a series has at most 32,768 events
+    e = g.table(spark, d, "events").select((F.col("user_id") % 4).alias("series"), "event_id", (F.col("value") - 50).alias("value"))
+    s = ranking.group_rank(e, "series", [F.asc("event_id")], "pos")
     return features.window_features(s, 64, most=None).select("series", "win", "n", F.round("energy", 6).alias("energy"), F.round("zcr", 6).alias("zcr"))
 
 
+@query("""with s as (select user_id % 4 as series, row_number() over (partition by user_id % 4 order by event_id) - 1 as pos, value - 50 as value from events),
+f as (select series, pos // 64 as win, count(*) as n, avg(value * value) as energy from s group by all having count(*) >= 32)
+select series, win, (floor(round(energy, 6) * 1000)::bigint % 65536)::bigint as feat from f""")
+def window_feature_hash(spark, d):
+    e = g.table(spark, d, "events").select((F.col("user_id") % 4).alias("series"), "event_id", (F.col("value") - 50).alias("value"))
+    s = ranking.group_rank(e, "series", [F.asc("event_id")], "pos")
+    w = features.window_features(s, 64, most=None)
+    return w.select("series", "win", features.feature_hash(F.round("energy", 6)).alias("feat"))
+
+
 GRID = "cells as (select distinct (p_partkey % 40)::bigint as px, (p_size)::bigint as py from part)"
 
 
@@ -443,6 +482,20 @@ def knn_pairs(spark, d):
     return _near(spark, d).select("i", "j", "rank", F.round("sim", 6).alias("sim"))
 
 
+@query(with_(KNN) + "select i, j, round(sim, 6) as sim from near where sim >= 0.25")
+def knn_threshold(spark, d):
+    v = g.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return features.neighbours(v, threshold=0.25).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+@query("""with v as (select vec_id, embedding::double[] as e from embeddings), n as (select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) as s from v)
+select vec_id, round(list_sum(list_transform(e, lambda x: (x / case when s = 0 then 1 else s end) ** 2)), 6) as norm2, round(e[1] / case when s = 0 then 1 else s end, 6) as first from n""")
+def embed_normalised(spark, d):
+    v = entropy.unit(F.col("embedding").cast("array<double>"))
+    n = g.table(spark, d, "embeddings").select("vec_id", v.alias("v"))
+    return n.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"), F.round(F.col("v")[0], 6).alias("first"))
+
+
 @query(with_(KNN) + """select 'sim:' || i as edge_id, array_to_string(list_sort(list_append(list(j::varchar), i::varchar)), ',') as nodes, round(round(greatest(0.01, least(1, (avg(sim) + 1) / 2)), 4), 3) as I_value from near group by i""")
 def knn_edges(spark, d):
     return features.similarity_edges(_near(spark, d)).select("edge_id", text("nodes").alias("nodes"), F.round("I_value", 3).alias("I_value"))
@@ -523,43 +576,91 @@ def ans_entropy_bits(spark, d):
     return entropy.coded_bits(entropy.normalised(_hist(spark, d))).withColumn("bits", F.round("bits", 1))
 
 
-@query("select item_id, true as same, strlen(text)::bigint as bytes from benchmark")
+@query("select item_id, md5(text) as decoded, strlen(text)::bigint as bytes, hex(encode(text))[1:16] as head from benchmark")
 def ans_roundtrip(spark, d):
-    b = g.table(spark, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("raw"))
-    back = codec.decode_column(codec.encode_column(F.col("raw")))
-    return b.select("item_id", (back == F.col("raw")).alias("same"), F.octet_length("raw").cast("long").alias("bytes"))
+    b = g.table(spark, d, "benchmark").select("item_id", codec.encode_column(F.encode("text", "UTF-8")).alias("blob"))
+    back = b.select("item_id", codec.decode_column(F.col("blob")).alias("raw"))
+    return back.select("item_id", F.md5("raw").alias("decoded"), F.octet_length("raw").cast("long").alias("bytes"), F.substring(F.hex("raw"), 1, 16).alias("head"))
 
 
-@query("select item_id, true as same, true as valid, false as broken_valid from benchmark")
+@query("select item_id, text as payload, null::varchar as error, 'not a packet: b''SZP' as broken from benchmark")
 def packet_roundtrip(spark, d):
-    b = g.table(spark, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("raw")).withColumn("packet", codec.pack_column(F.col("raw")))
-    cut = F.expr("substring(packet, 2)")
-    return b.select("item_id", (codec.payload_column(F.col("packet")) == F.col("raw")).alias("same"), codec.valid_column(F.col("packet")).alias("valid"), codec.valid_column(cut).alias("broken_valid"))
+    b = g.table(spark, d, "benchmark").select("item_id", codec.pack_column(F.encode("text", "UTF-8")).alias("packet"))
+    cut = codec.error_column(F.expr("substring(packet, 2)"))
+    return b.select("item_id", codec.payload_column(F.col("packet")).cast("string").alias("payload"), codec.error_column(F.col("packet")).alias("error"), F.substring(cut, 1, 19).alias("broken"))
 
 
-@query("select count(*) as texts, true as smaller from benchmark where text is not null")
+@query("select item_id, base64(encode(text)) as sent, text as received from benchmark")
+def base64_transport(spark, d):
+    b = g.table(spark, d, "benchmark").select("item_id", F.base64(F.encode("text", "UTF-8")).alias("sent"))
+    return b.select("item_id", F.regexp_replace("sent", "\\s", "").alias("sent"), F.unbase64("sent").cast("string").alias("received"))
+
+
+@query()
 def baseline_ratios(spark, d):
-    s = g.table(spark, d, "benchmark").filter("text is not null").select(F.octet_length(F.repeat("text", 20)).alias("n"), entropy.baseline_sizes(F.repeat("text", 20)).alias("z"))
-    return s.agg(F.count("*").alias("texts"), F.bool_and((F.col("z.gzip") < F.col("n")) & (F.col("z.bzip2") < F.col("n")) & (F.col("z.lzma") < F.col("n"))).alias("smaller"))
+    """Sizes of each text under gzip, bzip2 and lzma, and the ratios."""
+    b = g.table(spark, d, "benchmark").filter("text is not null").select("item_id", F.octet_length("text").cast("long").alias("bytes"), entropy.baseline_sizes(F.col("text")).alias("z"))
+    ratio = lambda c: F.round(F.col("bytes") / F.col(f"z.{c}"), 4).alias(f"{c}_ratio")
+    return b.select("item_id", "bytes", "z.*", ratio("gzip"), ratio("bzip2"), ratio("lzma"))
+
+
+#: Edges of a packet, about: packets of one batch are coded in step.
+PACKET_ROWS = 256
 
 
 def _compressed(spark, d, kb=None, ratio=1.0) -> compress.Compressed:
-    return compress.Compressed(with_defaults(g.knowledge_graph(spark, d)), kb, THETA, ratio, ("edge_id",))
+    return compress.Compressed(with_defaults(g.knowledge_graph(spark, d)), kb, THETA, ratio, ("edge_id",), parts=64)
 
 
 @query(with_(KG) + f"select edge_id, array_to_string(nodes, ',') as nodes, predicate, I_value from kg where {ALIVE}")
 def decompress_edges(spark, d):
-    nodes, edges = compress.decompress(_compressed(spark, d).packets(64))
+    nodes, edges = compress.decompress(_compressed(spark, d).packets(PACKET_ROWS))
     return edges.select("edge_id", text("nodes").alias("nodes"), "predicate", "I_value")
 
 
 @query(with_(KG, KB) + f", a as (select e.*, kb.pattern_id from kg e left join kb on {JOIN_KB} where {ALIVE}) select predicate, pattern_id is not null as rebuilt, count(*) as n from a group by all")
 def decompress_with_patterns(spark, d):
     kb = knowledge.builtin(spark)
-    edges = compress.decompress(_compressed(spark, d, kb).packets(64), kb)[1]
+    edges = compress.decompress(_compressed(spark, d, kb).packets(PACKET_ROWS), kb)[1]
     return edges.groupBy("predicate", F.col("edge_id").startswith("reabsorbed_").alias("rebuilt")).agg(F.count("*").alias("n"))
 
 
+SHARD_TOP = f"""e as (select *, (('0x' || md5(list_min(nodes))[1:2])::int % 8) as part from supply where {ALIVE}),
+top as (select *, row_number() over (partition by part order by I_value desc, edge_id) as r, count(*) over (partition by part) as n from e qualify r <= greatest(1, floor(n * cast(0.15 as double)))),
+inside as (select distinct part, unnest(nodes) as node_id from top)"""
+
+
+@query(with_(SUPPLY, SHARD_TOP) + """, m as (select edge_id, part, unnest(nodes) as node_id from e where edge_id not in (select edge_id from top))
+select part, count(*) filter (where pass = 0) as seeds, count(*) filter (where pass = 1) as grown from (
+  select part, edge_id, 0 as pass from top
+  union all select m.part, edge_id, 1 from m join inside using (part, node_id) group by m.part, edge_id having count(*) >= 2) group by part""")
+def shard_kernels(spark, d):
+    """Each shard's own kernel, as far as its seeds' nodes reach (the scan's later additions are in no count)."""
+    c = compress.Compressed(with_defaults(g.supply(spark, d)), None, THETA, KAPPA, ("edge_id",), parts=8)
+    seeds_ = c.picked.filter("pass = 0").select("part", "edge_id")
+    inside = c.merged.join(seeds_, ["part", "edge_id"], "left_semi").select("part", F.explode("nodes").alias("node_id")).distinct()
+    rest = c.merged.join(seeds_, ["part", "edge_id"], "left_anti").select("part", "edge_id", F.explode("nodes").alias("node_id")).join(inside, ["part", "node_id"], "left_semi")
+    near = rest.groupBy("part", "edge_id").agg(F.count("*").alias("k")).filter("k >= 2").select("part", "edge_id").join(c.picked.select("part", "edge_id"), ["part", "edge_id"], "left_semi")
+    both = seeds_.withColumn("pass", F.lit(0)).union(near.withColumn("pass", F.lit(1)))
+    return both.groupBy("part").agg(F.count(F.when(F.col("pass") == 0, 1)).alias("seeds"), F.count(F.when(F.col("pass") == 1, 1)).alias("grown"))
+
+
+@query(with_(KG, KB) + f"""
+, e as (select kg.*, ('0x' || md5(list_min(nodes))[1:2])::int % 8 as part, {ALIVE} as alive from kg),
+m as (select e.part, e.alive, e.nodes, kb.pattern_id from e left join kb on {JOIN_KB}),
+c as (select part, count(*) as n, count(*) filter (where alive) as kept, count(*) filter (where alive and pattern_id is null) as merged from m group by part),
+v as (select part, count(distinct x) as v from (select part, unnest(nodes) as x from m where alive and pattern_id is null) group by part)
+select part, 'dead_zero_prune' as stage_name, n as input_count, kept as output_count, (n - kept)::double as removed, null::double as v_star, null::double as expansion_ratio from c
+union all select part, 'isomorphism_merge', kept, merged, (kept - merged)::double, null, null from c
+union all select part, 'weighting', merged, merged, null, null, null from c
+union all select part, 'kernel_selection', merged, merged, null, coalesce(v, 0)::double, merged / greatest(1, merged)::double from c left join v using (part)""")
+def shard_stage_stats(spark, d):
+    """What every stage took and gave in each shard, all edges being kept (ratio 1)."""
+    s = compress.Compressed(with_defaults(g.knowledge_graph(spark, d)), knowledge.builtin(spark), THETA, 1.0, ("edge_id",), parts=8).stages()
+    removed = F.coalesce(F.col("details")["pruned_count"], F.col("details")["absorbed_count"])
+    return s.select("part", "stage_name", "input_count", "output_count", removed.alias("removed"), F.col("details")["v_star"].alias("v_star"), F.col("details")["expansion_ratio"].alias("expansion_ratio"))
+
+
 # ---------------------------------------------------------------- shards
 PART = "(('0x' || md5(list_min(nodes))[1:2])::int % 8)"
 
@@ -569,6 +670,11 @@ def md5_partition(spark, d):
     return partition.by_edge(g.supply(spark, d), 8).select("edge_id", "part")
 
 
+@query(with_(KG, NODES) + ", n as (select node_id, ('0x' || md5(node_id)[1:2])::int % 8 as part from nodes) select edge_id, coalesce(n.part, 0)::int as part from kg left join n on n.node_id = list_min(nodes)")
+def first_member_partition(spark, d):
+    return partition.by_first_member(g.knowledge_graph(spark, d), g.knowledge_nodes(spark, d), 8).select("edge_id", "part")
+
+
 @query(with_(SUPPLY) + f""", e as (select *, {PART} as part from supply where {ALIVE}),
 r as (select *, row_number() over (partition by part order by I_value desc, edge_id) as rank, count(*) over (partition by part) as n from e)
 select edge_id, part, rank::int as rank from r where rank <= greatest(1, floor(n * cast(0.15 as double)))""")
@@ -589,18 +695,18 @@ def shard_summary(spark, d):
 
 
 # ---------------------------------------------------------------- code lengths
-LOGITS = "l as (select vec_id, list_transform(embedding[1:16]::double[], lambda x: x) as z from embeddings), p as (select vec_id, list_transform(z, lambda x: exp(x - list_max(z)) / list_sum(list_transform(z, lambda y: exp(y - list_max(z))))) as p from l)"
+LOGITS = "l as (select vec_id, embedding::double[] as z from embeddings), p as (select vec_id, list_transform(z, lambda x: exp(x - list_max(z)) / list_sum(list_transform(z, lambda y: exp(y - list_max(z))))) as p from l)"
 
 
 def _probabilities(spark, d) -> DataFrame:
-    z = F.slice(F.col("embedding").cast("array<double>"), 1, 16)
+    z = F.col("embedding").cast("array<double>")
     return g.table(spark, d, "embeddings").select("vec_id", entropy.softmax(z).alias("p"))
 
 
-@query(with_(LOGITS) + "select vec_id, round(list_sum(list_transform(p, lambda x: -x * ln(x + 1e-10))) / ln(2), 6) as expected_bits, round(-log2(p[vec_id % 16 + 1] + 1e-10), 6) as cost from p")
+@query(with_(LOGITS) + "select vec_id, round(list_sum(list_transform(p, lambda x: -x * ln(x + 1e-10))) / ln(2), 6) as expected_bits, round(-log2(p[vec_id % len(p) + 1] + 1e-10), 6) as cost from p")
 def softmax_code_length(spark, d):
     p = _probabilities(spark, d)
-    return p.select("vec_id", F.round(entropy.expected_bits(F.col("p")), 6).alias("expected_bits"), F.round(entropy.code_length(F.col("p"), (F.col("vec_id") % 16).cast("int")), 6).alias("cost"))
+    return p.select("vec_id", F.round(entropy.expected_bits(F.col("p")), 6).alias("expected_bits"), F.round(entropy.code_length(F.col("p"), (F.col("vec_id") % F.size("p")).cast("int")), 6).alias("cost"))
 
 
 @query(with_(LOGITS, "b as (select list_sum(list_transform(p, lambda x: -x * ln(x + 1e-10))) / ln(2) as bits from p)") + "select round(avg(bits), 6) as avg_bits, round(min(bits), 6) as min_bits, round(max(bits), 6) as max_bits, round(8 / greatest(avg(bits), 0.01), 4) as ratio from b")
@@ -616,13 +722,31 @@ def edge_features(spark, d):
 
 
 # ---------------------------------------------------------------- generators, sources and streams
-@query("select 2000::bigint as triples, 500 as entities, true as typed")
+PICK = "('0x' || md5({id} || ':{what}:42')[1:8])::bigint % {n}"
+
+
+def _sql_pick(what: str, n, ident: str = "id") -> str:
+    return PICK.format(id=ident, what=what, n=n)
+
+
+@query(f"select range as id, 'e' || {_sql_pick('s', 500, 'range')} as s, 'r' || {_sql_pick('p', 20, 'range')} as p, 'e' || {_sql_pick('o', 500, 'range')} as o from range(2000)")
 def generated_triples(spark, d):
-    t = features.typed_triples(spark)
-    type_of = lambda c: F.substring(c, 2, 9).cast("int") % 5
-    ok = F.bool_and((type_of("s") == F.substring("p", 2, 9).cast("int") % 5) & (type_of("o") == (F.substring("p", 2, 9).cast("int") + 1) % 5))
-    n = features.random_triples(spark).select(F.col("s").alias("e")).union(features.random_triples(spark).select("o")).agg(F.when(F.max(F.substring("e", 2, 9).cast("int")) < 500, 500).otherwise(0).alias("entities"))
-    return t.agg(F.count("*").alias("triples"), ok.alias("typed")).join(n)
+    return features.random_triples(spark)
+
+
+_TYPES = str(features.TYPES)
+
+
+@query(f"""with e as (select range as id, printf('ent:%04d', range) as entity, {_sql_pick('type', 7, 'range')} as a, {_sql_pick('other', 6, 'range')} as b, {_sql_pick('types', 2, 'range')} as two from range(500)),
+t as (select id, entity, unnest(case when two = 1 then [a, (a + 1 + b) % 7] else [a] end) as k from e),
+n as (select entity, {_TYPES}[k + 1] as type, row_number() over (partition by k order by id) - 1 as n, count(*) over (partition by k) as have from t),
+named(id, domain, range_, p) as (values {', '.join(str((k, *r)) for k, r in enumerate(features.RELATIONS))}),
+rel as (select * from named union all select range, {_TYPES}[{_sql_pick('domain', 7, 'range')} + 1], {_TYPES}[{_sql_pick('range', 7, 'range')} + 1], printf('rel:%03d', range) from range(15, 20)),
+x as (select i.range as id, rel.* exclude (id), {_sql_pick('s', "(select max(have) from n where type = domain)", 'i.range')} as sn, {_sql_pick('o', "(select max(have) from n where type = range_)", 'i.range')} as tn
+  from range(2000) i join rel on rel.id = {_sql_pick('relation', 20, 'i.range')})
+select x.id, s.entity as s, x.p, o.entity as o from x join n s on s.type = domain and s.n = sn join n o on o.type = range_ and o.n = tn""")
+def semantic_triples(spark, d):
+    return features.semantic_triples(spark)
 
 
 #: Edges of a JSON document, about.
@@ -643,29 +767,27 @@ def _read_back(spark, d) -> DataFrame:
     return back.select("edge_id", text("nodes").alias("nodes"), "predicate", "I_value", text("attr_types").alias("attr_types"))
 
 
-@query(with_(KG) + "select edge_id, array_to_string(nodes, ',') as nodes, predicate, I_value, array_to_string(attr_types, ',') as attr_types from kg where predicate <> 'placed_by'")
-def graph_json_roundtrip(spark, d):
-    """Graphs as JSON documents and back, all predicates; the result leaves out the orders, as the SQL does."""
-    return _read_back(spark, d).filter("predicate <> 'placed_by'")
-
-
 @query(with_(KG) + "select edge_id, array_to_string(nodes, ',') as nodes, predicate, I_value, array_to_string(attr_types, ',') as attr_types from kg")
-def graph_json_roundtrip_all(spark, d):
-    """The same with the edges of all predicates."""
+def graph_json_roundtrip(spark, d):
+    """Graphs as JSON documents and back, all predicates."""
     return _read_back(spark, d)
 
 
-@query(with_(EVENTS) + "select user_id, count(*) as n, round(sum(1 / (I_value + 1e-9)), 3) as weight from ev where I_value >= 0.75 group by user_id")
+@query(with_(KG) + "select nodes[1] as customer, count(*) as n, round(sum(1 / (I_value + 1e-9)), 3) as weight from kg where predicate = 'placed_by' and I_value >= 0.75 group by all")
 def streaming_prune_weigh(spark, d):
-    """A stream of the events table's edges, drained: pruned and weighted, then added up by user."""
-    e = g.event_chain(spark, d)
-    return streams.prune_and_weigh(e, 0.75).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("d_sem"), 3).alias("weight"))
+    """A stream of orders as edges, pruned and weighted as they come; what it wrote is then added up by customer."""
+    key = F.col("o_orderkey")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    rows = streams.source(spark, f"{d}/orders.parquet").select(name("kg:oc:", "o_orderkey").alias("edge_id"), sorted_set(F.array(name("o:", "o_orderkey"), name("c:", "o_custkey"))).alias("nodes"), F.lit("placed_by").alias("predicate"), ((key % 100) / F.lit(100.0)).alias("I_value"), F.lit(1.0).alias("base_weight"), F.lit(1.0).alias("dir_factor"))
+    e = streams.drain(streams.prune_and_weigh(rows, 0.75), "append")
+    return e.groupBy(F.col("nodes")[0].alias("customer")).agg(F.count("*").alias("n"), F.round(F.sum("d_sem"), 3).alias("weight"))
 
 
 @query("""with m as (select user_id, ts::date as day, list_sort(list_distinct(list(event_id::varchar))) as m, avg(value) as v from events group by all)
 select 'win:' || user_id || ':' || epoch(day)::bigint as edge_id, array_to_string(m, ',') as nodes, round(v, 6) as I_value from m where len(m) >= 2""")
 def windowed_event_edges(spark, d):
-    e = streams.windowed_edges(g.table(spark, d, "events"))
+    """A stream of events in windows of a day; the windows as they stand when the stream has been drained."""
+    e = streams.drain(streams.windowed_edges(streams.source(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))), "complete")
     return e.select("edge_id", text("nodes").alias("nodes"), F.round("I_value", 6).alias("I_value"))
 
 
@@ -675,9 +797,12 @@ def graph_hash(spark, d):
     return graph.identity_hash(g.knowledge_nodes(spark, d))
 
 
-@query(with_(KG) + "select count(*) as edges, sum(strlen(edge_id) + strlen(predicate) + list_sum(list_transform(nodes, lambda x: strlen(x))))::bigint as bytes from kg")
+@query(with_(KG, NODES) + """
+, e as (select count(*) as edges, sum(strlen(to_json({'edge_id': edge_id, 'nodes': nodes, 'predicate': predicate, 'I_value': I_value}))) as bytes from kg),
+n as (select count(*) as nodes, sum(strlen(to_json({'node_id': node_id, 'type': kind, 'name': name})) + case when segment is null then 0 else strlen(',"segment":""') + strlen(segment) end) as bytes from nodes)
+select nodes, edges, (e.bytes + n.bytes + 23 * nodes + 4 * (select count(*) from nodes where segment is not null))::bigint as bytes from e, n""")
 def estimated_size(spark, d):
-    return graph.estimated_size(g.knowledge_graph(spark, d))
+    return graph.estimated_size(g.knowledge_graph(spark, d), g.knowledge_nodes(spark, d))
 
 
 @query("select vec_id, (vec_id % 196) % 14 as gx, (vec_id % 196) // 14 as gy from embeddings")
@@ -695,22 +820,32 @@ def attention_average(spark, d):
 @query()
 def learned_code_length(spark, d):
     e = g.knowledge_graph(spark, d)
-    return learned.evaluate(learned.costs(learned.fit(e, rounds=15), e))
+    return learned.fit(e, epochs=2, batches=4).evaluate(e)
 
 
-@query(with_(KG, KB) + f"""
-, m as (select e.predicate, kb.pattern_id from kg e left join kb on {JOIN_KB})
-select predicate, count(*) as edges, count(*) filter (where pattern_id is null) as left_before, 0::bigint as left_after from m group by predicate""")
+@query()
+def learned_epochs(spark, d):
+    """The mean loss of each epoch of training."""
+    c = learned.fit(g.knowledge_graph(spark, d), epochs=3, batches=4)
+    return spark.createDataFrame([(k + 1, x) for k, x in enumerate(c.loss_history)], "epoch int, loss double")
+
+
+@query(with_(KG, FREQ, MINED, KB) + f"""
+, m as (select e.predicate, kb.pattern_id, exists (select 1 from pats p where p.predicate = e.predicate and len(p.nodes) = len(e.nodes) and p.attr_types = array_to_string(e.attr_types, ',')) as learned from kg e left join kb on {JOIN_KB})
+select predicate, count(*) as edges, count(*) filter (where pattern_id is null) as left_before, count(*) filter (where pattern_id is null and not learned) as left_after from m group by predicate""")
 def compression_improvement(spark, d):
-    """Edges that no pattern absorbs, before and after a pattern of each of the graph's keys is learned."""
-    e = _kg(spark, d)
-    kb = knowledge.builtin(spark)
-    keys = e.select(*knowledge.key()).distinct().withColumn("pat_pos", F.xxhash64("k_predicate", "k_attrs"))
-    name = F.concat_ws("_", F.lit("learned"), "k_predicate", F.array_join("k_attrs", "_"))
-    new = keys.select("pat_pos", name.alias("edge_id"), F.transform(F.sequence(F.lit(1), F.col("k_arity")), lambda j: F.concat(F.lit("n_"), j.cast("string"))).alias("nodes"), F.col("k_predicate").alias("predicate"), F.lit(1.0).alias("I_value"), F.lit(1.0).alias("base_weight"), F.lit(1.0).alias("dir_factor"), F.col("k_attrs").alias("attr_types"))
-    before = mining.coverage(e, kb, ("predicate",)).select("predicate", "edges", (F.col("edges") - F.col("matched")).alias("left_before"))
-    after = mining.coverage(e, knowledge.add(kb, new), ("predicate",)).select("predicate", (F.col("edges") - F.col("matched")).alias("left_after"))
-    return before.join(after, "predicate")
+    """Edges that no pattern absorbs, before and after the graph's patterns are learned."""
+    e, kb = _kg(spark, d), knowledge.builtin(spark)
+    left = lambda k, name: mining.coverage(e, k, ("predicate",)).select("predicate", "edges", (F.col("edges") - F.col("matched")).alias(name))
+    return left(kb, "left_before").join(left(mining.learn(kb, e), "left_after").drop("edges"), "predicate")
+
+
+@query(with_(KG, FREQ, MINED, KB) + """, n as (select p.*, exists (select 1 from kb where kb.predicate = p.predicate and kb.arity = len(p.nodes) and array_to_string(kb.attrs, ',') = p.attr_types) as known from pats p)
+select (select count(*) from kg) as source_edges, count(*) as patterns_mined, 18 as patterns_before, 18 + count(*) filter (where not known) as patterns_after, count(*) filter (where not known) as added, count(*) filter (where known) as skipped_duplicates from n""")
+def learn_report(spark, d):
+    r = mining.learn_report(knowledge.builtin(spark), _kg(spark, d))[1]
+    cols = ["source_edges", "patterns_mined", "patterns_before", "patterns_after", "added", "skipped_duplicates"]
+    return spark.createDataFrame([tuple(r[c] for c in cols)], ", ".join(f"{c} long" for c in cols))
 
 
 # ---------------------------------------------------------------- flagship

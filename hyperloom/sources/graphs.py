@@ -102,6 +102,43 @@ def read_pickle(spark: SparkSession, path: str, trusted: bool = False) -> tuple[
     return from_documents(files.select(F.col("path").alias("graph_id"), text("content").alias("value")))
 
 
+def write_pickle(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph of one document's size as a pickle of plain containers."""
+    row = to_documents(nodes.withColumn("graph_id", F.lit(0)), edges.withColumn("graph_id", F.lit(0))).first()
+    with open(path, "wb") as f:
+        pickle.dump(json.loads(row["value"]) if row else {"nodes": [], "edges": []}, f)
+
+
+def read_files(spark: SparkSession, path: str, trusted: bool = False) -> DataFrame:
+    """graph_id (the file), value (its JSON text), bytes, error: every .json and .pickle below a folder; one that is no graph says why."""
+    def one(name: str, raw: bytes) -> str:
+        if name.endswith(".json"):
+            doc = json.loads(raw)
+        elif trusted:
+            doc = _Plain(io.BytesIO(raw)).load()
+        else:
+            raise ValueError("pickle files are read only if trusted")
+        if not isinstance(doc, dict) or not all(isinstance(doc.get(k, []), list) for k in ("nodes", "edges")):
+            raise ValueError("no graph")
+        if not all(isinstance(x, dict) and isinstance(x.get(i), str) for k, i in (("nodes", "node_id"), ("edges", "edge_id")) for x in doc.get(k, [])):
+            raise ValueError("a node or edge without an id")
+        return json.dumps(doc, ensure_ascii=False)
+
+    @F.pandas_udf("struct<value: string, error: string>")
+    def opened(names: pd.Series, raws: pd.Series) -> pd.DataFrame:
+        out = []
+        for name, raw in zip(names, raws, strict=True):
+            try:
+                out.append((one(name, bytes(raw)), None))
+            except Exception as e:  # noqa: BLE001
+                out.append((None, f"{type(e).__name__}: {e}"[:300]))
+        return pd.DataFrame(out, columns=["value", "error"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{json,pickle}").load(path)
+    o = files.select(F.col("path").alias("graph_id"), F.col("length").alias("bytes"), opened("path", "content").alias("o"))
+    return o.select("graph_id", "bytes", "o.value", "o.error")
+
+
 READERS: dict[str, Callable] = {".json": read_json, ".parquet": read_parquet}
 
 
@@ -147,7 +184,11 @@ def read_kb(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """Patterns and their stored signature, from {"patterns": [..], "sig": ..}."""
     from ..operators.knowledge import PATTERN
 
+    from ..operators.knowledge import MAX_PATTERNS
+
     doc = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    if len(doc.get("patterns", [])) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns")
     rows = [(k, p["edge_id"], sorted(p.get("nodes", [])), p.get("predicate", ""), float(p.get("I_value", 0)), float(p.get("base_weight", 1)), float(p.get("dir_factor", 1)), sorted(p.get("attr_types", []))) for k, p in enumerate(doc.get("patterns", []))]
     return spark.createDataFrame(rows, PATTERN), doc.get("sig", "")
 
@@ -155,7 +196,9 @@ def read_kb(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
 def write_kb(kb: DataFrame, path: str) -> None:
     from ..operators.knowledge import signature
 
-    rows = [{k: v for k, v in r.asDict().items() if k != "pat_pos"} for r in kb.orderBy("pat_pos").collect()]
+    from ..operators.knowledge import checked
+
+    rows = [{k: v for k, v in r.asDict().items() if k != "pat_pos"} for r in checked(kb).orderBy("pat_pos").collect()]
     text = json.dumps({"patterns": rows, "sig": signature(kb)}, ensure_ascii=False)
     kb.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 

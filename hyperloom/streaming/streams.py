@@ -2,14 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..model import THETA, sorted_set
+from ..model import THETA, shared_folder, sorted_set
 from ..operators import knowledge, mining, stages
 
 
+def source(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of a Parquet table's files: of a folder's, or of one file in its folder."""
+    table = spark.read.parquet(path)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    one = [f for f in table.inputFiles() if f.rsplit("/", 1)[1] == name]
+    s = spark.readStream.schema(table.schema).option("recursiveFileLookup", True)
+    return s.option("pathGlobFilter", name).parquet(folder) if one else s.parquet(path)
+
+
+def drain(rows: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over all that its sources hold now; what it wrote, as a table in the shared folder.
+
+    ``append``: the rows of all micro-batches, each written under its number, so
+    that one that runs again replaces itself. ``complete``: the last one's.
+    """
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    # an empty first part gives the table a schema even if nothing comes
+    spark.createDataFrame([], rows.schema).write.parquet(f"{folder}/out/batch=-1")
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        last[:] = [number]
+
+    q = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.schema(rows.schema).parquet(*([f"{folder}/out/batch={last[0]}"] if mode == "complete" and last else [f"{folder}/out/batch={n}" for n in range(-1, (last[0] if last else -1) + 1)]))
+    return out
+
+
 def prune_and_weigh(edges: DataFrame, theta: float = THETA) -> DataFrame:
     """Stateless: the edges of a stream that stay, weighted."""
     return stages.weigh(stages.prune(edges, theta))

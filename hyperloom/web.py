@@ -1,10 +1,11 @@
-"""HTTP wrapper: POST JSON to /api/{compress, decompress, incremental-compress, incremental-decompress}."""
+"""HTTP wrapper: a page at /, and POST JSON to /api/{compress, decompress, incremental-compress, incremental-decompress}."""
 
 from __future__ import annotations
 
 import base64
 import json
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ from .plans import compress as plans
 from .sources import graphs
 
 
+#: The page that shows, edits, compresses and expands a graph.
+PAGE = Path(__file__).with_name("page.html")
+
+
 def _graph(doc: dict) -> tuple[DataFrame, DataFrame]:
     """Nodes as a list, or as a dict by id."""
     nodes = doc.get("nodes", [])
@@ -64,8 +69,10 @@ class Handler(BaseHTTPRequestHandler):
         self.wfile.write(body)
 
     def do_GET(self) -> None:
-        page = b"<!doctype html><title>hyperloom</title><p>POST graphs as JSON to /api/compress."
-        self._send(200, page, "text/html; charset=utf-8") if self.path == "/" else self._send(404, b"{}", "application/json")
+        if self.path == "/":
+            self._send(200, PAGE.read_bytes(), "text/html; charset=utf-8")
+        else:
+            self._send(404, b"{}", "application/json")
 
     def do_POST(self) -> None:
         try:
