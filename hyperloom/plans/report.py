@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import entropy
-from ..model import KAPPA, THETA, with_defaults
+from ..model import KAPPA, THETA, checkpoint, with_defaults
 from ..operators import features, graph
-from ..sources import graphs
-from .compress import Compressed
+from ..sources import graphs, media
+from .compress import Compressed, open_packets
 
 RATIOS = ("scr_anchor", "scr_info", "bit_ratio")
 
@@ -82,3 +82,28 @@ def benchmark(spark: SparkSession, path: str, entities: int = 500, relations: in
 def dump(spark: SparkSession, report: dict, path: str) -> None:
     text = json.dumps(report, ensure_ascii=False, default=str)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def fidelity(spark: SparkSession, path: str, theta: float = THETA, ratio: float = 1.0, pattern: str = "*") -> DataFrame:
+    """Image files, compressed and expanded again -> graph_id, original_patches, kept_patches, retention, mean_information, fidelity, compression_ratio.
+
+    Fidelity is the share of patches that come back times the mean information
+    of the edges that do. Files that can't be read have no patches and fidelity 0.
+    """
+    nodes, edges = media.image_graphs(spark, path, pattern=pattern)
+    c = Compressed(edges, None, theta, ratio, ("graph_id", "pos"), group="graph_id")
+    packets = checkpoint(c.packets())
+    inside = "V_star array<string>, E_star array<struct<I_value: double>>"
+    body = open_packets(packets).select(F.col("part").alias("graph_id"), F.from_json("payload", inside).alias("p"))
+    patches = F.size(F.filter("p.V_star", lambda x: x.startswith("patch:")))
+    mean = F.aggregate("p.E_star", F.lit(0.0), lambda a, x: a + x["I_value"]) / F.greatest(F.lit(1), F.size("p.E_star"))
+    kept = body.select("graph_id", patches.cast("long").alias("kept_patches"), F.round(mean, 4).alias("mean_information"))
+    size = packets.select(F.col("part").alias("graph_id"), F.octet_length("packet").alias("packed"))
+    text = F.to_json(F.struct("node_id", "attributes"))
+    all_ = nodes.groupBy("graph_id").agg(F.sum(F.col("node_id").startswith("patch:").cast("long")).alias("original_patches"), F.sum(F.octet_length(text)).alias("bytes"))
+    line = F.to_json(F.struct("edge_id", "nodes", "predicate", "I_value"))
+    more = edges.groupBy("graph_id").agg(F.sum(F.octet_length(line)).alias("more"))
+    r = all_.join(more, "graph_id", "left").join(kept, "graph_id", "left").join(size, "graph_id", "left").fillna(0)
+    r = r.withColumn("retention", F.col("kept_patches") / F.greatest(F.lit(1), F.col("original_patches")))
+    share = F.round((F.col("bytes") + F.col("more")) / F.greatest(F.lit(1), F.col("packed")), 4)
+    return r.select("graph_id", "original_patches", "kept_patches", "retention", "mean_information", F.round(F.col("retention") * F.col("mean_information"), 4).alias("fidelity"), share.alias("compression_ratio"))

@@ -383,6 +383,23 @@ def test_image_formats(spark, tmp_path):
     assert media.embed_patches(spark, str(tmp_path)).count() == 4 and media.embed_images(spark, str(tmp_path)).count() == 1
 
 
+def test_image_fidelity(spark, tmp_path):
+    import numpy as np
+
+    from hyperloom.plans import report
+    from hyperloom.sources import media
+
+    for k in (1, 2):
+        (tmp_path / f"{k}.png").write_bytes(media.encode_png(np.full((48 * k, 64, 3), 90 * k, np.uint8)))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    got = {r.graph_id.rsplit("/", 1)[1]: r for r in report.fidelity(spark, str(tmp_path)).collect()}
+    nodes, edges = media.image_graphs(spark, str(tmp_path / "1.png"))
+    mean = edges.agg(F.avg("I_value")).first()[0]
+    assert (got["1.png"].original_patches, got["1.png"].kept_patches, got["2.png"].original_patches) == (12, 12, 24)
+    assert abs(got["1.png"].fidelity - mean) < 1e-3 and got["1.png"].compression_ratio > 0
+    assert (got["bad.png"].original_patches, got["bad.png"].fidelity) == (0, 0.0)
+
+
 def test_evaluation(spark, tmp_path):
     from hyperloom.plans import report
 

@@ -124,3 +124,17 @@ def test_ratios(spark):
     row = spark.createDataFrame([(10, 4, 1, 100, 50), (10, 0, 0, 100, 0)], "original_edges long, compressed_edges long, reused_edges long, original_bytes long, compressed_bytes long")
     a, b = stages.compression_ratios(row).collect()
     assert (a.scr_anchor, a.scr_info, a.bit_ratio) == (2.5, 2.0, 2.0) and (b.scr_anchor, b.scr_info, b.bit_ratio) == (0.0, 0.0, 0.0)
+
+
+def test_flagship_against_the_scan(spark):
+    """The flagship query: pruned, absorbed and weighed edges of both graphs, then the scan over all of them in order."""
+    from hyperloom.model import KAPPA, THETA
+    from hyperloom.plans import derived, queries
+
+    sf = "/root/testdata/sf0.001"
+    kg = with_defaults(derived.knowledge_graph(spark, sf))
+    ev = with_defaults(derived.event_chain(spark, sf).drop("i", "user_id"))
+    keys = {(p, n, tuple(sorted(a))) for _, p, n, a in knowledge.BUILTIN}
+    rows = sorted((r.edge_id, r.nodes, r.I_value) for r in kg.unionByName(ev).collect() if r.I_value >= THETA and (r.predicate, len(r.nodes), tuple(r.attr_types)) not in keys)
+    want = {rows[i][0]: turn for i, turn in sequential([(n, v) for _, n, v in rows], KAPPA, 10).items()}
+    assert {r.edge_id: r["pass"] for r in queries.flagship(spark, sf).collect()} == want
