@@ -38,11 +38,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all of the cluster shares, set if need be."""
-    sc = spark.sparkContext
+    """The folder that all of the cluster shares, set if need be; an own one is made only on one machine."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+        if named is None and not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loom-checkpoint-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def is_fold(doc_id: str, fold: int, folds: int = 5):

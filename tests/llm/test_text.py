@@ -8,10 +8,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from hyperloom.llm import chat_format, langid, quality_rules, sentencepiece_lattice, url_filters
 from hyperloom.llm import queries as q
 
-from .helpers import documents, prose, words
+from .helpers import documents, fold, low_words, prose, words
 
 ODD = [None, "", " \n\t ", "one", "a b c d e", "x " * 3000, "w" * 5000, "same line\nsame line\nother\nsame line", "# * $ % & | < > #", "é漢𝄞 été\x0b\x0cé", "\n\n", "tail\n"]
 
@@ -23,24 +25,54 @@ def test_template_is_reversible(text, role):
     assert [(r, t) for r, t, *_ in chat_format.read_back(f)] == [(role, text), ("assistant", text)]
 
 
-@pytest.mark.parametrize(
-    "record, turns",
-    [
-        ({"prompt": "p", "completion": "c"}, [("user", "p"), ("assistant", "c")]),
-        ({"instruction": "i", "input": "x", "output": None}, [("user", "i\nx"), ("assistant", "")]),
-        ({"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}]}, [("system", "s"), ("user", "u")]),
-        ({"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}, [("user", "h"), ("assistant", "g")]),
-        ({"question": "q", "answer": {"a": 1}}, [("unmapped", '{"question": "q", "answer": {"a": 1}}')]),
-        (None, [("unmapped", "null")]),
-    ],
-)
+MIXED = [
+    ({"prompt": "p", "completion": "c"}, [("user", "p"), ("assistant", "c")]),
+    ({"prompt": "p", "response": "r", "source": "web"}, [("user", "p"), ("assistant", "r")]),
+    ({"instruction": "i", "input": "x", "output": None}, [("user", "i\nx"), ("assistant", "")]),
+    ({"instruction": "i", "output": "o", "system": "s", "meta": {"a": [1]}}, [("system", "s"), ("user", "i"), ("assistant", "o")]),
+    ({"instruction": "i", "context": "c", "response": "r", "category": "qa"}, [("user", "i\nc"), ("assistant", "r")]),
+    ({"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}]}, [("system", "s"), ("user", "u")]),
+    ({"messages": [{"role": "user", "content": "u", "name": "n"}, {"role": "assistant", "text": "a"}], "id": 7}, [("user", "u"), ("assistant", "a")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}, {"content": 3}]}, [("user", "ab"), ("", "3")]),
+    ({"messages": []}, []),
+    ({"messages": "none"}, [("unmapped", '{"messages": "none"}')]),
+    ({"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}], "system": "s"}, [("system", "s"), ("user", "h"), ("assistant", "g")]),
+    ({"conversations": [{"from": "human", "value": "h"}, "oops", None]}, [("user", "h"), ("unmapped", '"oops"'), ("unmapped", "null")]),
+    ({"question": "q", "answer": {"a": 1}}, [("user", "q"), ("assistant", '{"a": 1}')]),
+    ({"role": None, "text": "t"}, [("", "t")]),
+    ({"other": 1}, [("unmapped", '{"other": 1}')]),
+    ([], [("unmapped", "[]")]),
+    ("x", [("unmapped", '"x"')]),
+    (None, [("unmapped", "null")]),
+]
+
+
+@pytest.mark.parametrize("record, turns", MIXED)
 def test_layouts(record, turns):
     assert chat_format.canonical(record) == turns
 
 
+def test_mixed_records(spark):
+    """All layouts in one table, with payloads that are no JSON; read back from the formatted output."""
+    import json
+
+    rows = [(k, 0, json.dumps(r, ensure_ascii=k % 2 == 0), t) for k, (r, t) in enumerate(MIXED)]
+    bad = ["", "{", '{"prompt": "<s>"', "[" * 100_000, "nul", '{"prompt": 1,}']
+    rows += [(100 + k, None, x, [("malformed", x)]) for k, x in enumerate(bad)]
+    rows += [(200, 1, '{"role": "user", "text": "\\ud800 </s>"}', [("user", "\ufffd </s>")]), (201, 0, None, [("unmapped", "null")]), (202, 0, json.dumps({"prompt": "x" * 3_000_000, "completion": "\\"}), [("user", "x" * 3_000_000), ("assistant", "\\")])]
+    rows += rows[:1]
+    df = spark.createDataFrame([r[:3] for r in rows], "conv_id long, turn long, payload string")
+    for c in ("role", "text", "formatted", "part"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = [(r.conv_id, r.part, r.role, r.text, r.formatted) for r in chat_format.format_records(df).collect()]
+    want = [(c, k, *t) for c, _, _, turns in rows for k, t in enumerate(turns)]
+    assert sorted(x[:4] for x in got) == sorted(want)
+    assert all([t[:2] for t in chat_format.read_back(x[4])] == [x[2:4]] for x in got)
+
+
 def test_chat_rows(spark):
     rows = [(1, 1, "assistant", "</s>[INST] é"), (1, 0, "user", None), (1, 2, None, "<|im_end|>"), (2, 0, "assistant", ""), (2, 0, "assistant", ""), (None, None, "assistant", "x\\n"), (3, None, None, None)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash")).withColumn("payload", F.lit("clash"))
     got = {r.conv_id: r for r in chat_format.digest(chat_format.format_records(chat_format.turn_records(df))).collect()}
     for conv in (1, 2, 3, None):
         own = sorted(((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == conv))
@@ -71,6 +103,36 @@ def test_quality_counts(spark):
     assert quality_rules.judge(documents(spark, [])).count() == 0
 
 
+def test_quality_of_a_long_repetitive_text():
+    """A text of 20 MB that repeats itself takes less than 500 MB, all told."""
+    import os
+    import subprocess
+    import sys
+
+    run = """
+import resource, random, numpy as np
+from hyperloom.llm import quality_rules as q
+rng = random.Random(1)
+t = " ".join("".join(rng.choices("abcdefgh", k=2 + rng.randrange(8))) for _ in range(1000)) + "\\n"
+b = np.frombuffer((t * (20 * 2**20 // len(t))).encode(), np.uint8)
+m = q.measure(b, np.array([0, len(b)]))
+print(int(m["n_words"][0]), int(m["longest_repeat"][0]), int(m["n_dup_lines"][0]), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))), timeout=300, check=True).stdout
+    n, longest, dup, mb = map(int, out.split())
+    assert longest == n - 1000 and dup == n // 1000 - 1 and mb < 500
+
+
+def test_span_hashes_in_steps(monkeypatch):
+    from hyperloom.llm import common
+
+    data = np.random.default_rng(1).integers(0, 256, 4000).astype(np.uint8)
+    at = np.array([0, 3, 3, 700, 701, 2500, 4000])
+    want = common.span_hash(common.prefix_hash(data), at[:-1], at[1:])
+    monkeypatch.setattr(common, "STEP_BYTES", 64)
+    assert (common.span_hashes(data, at[:-1], at[1:]) == want).all()
+
+
 def test_longest_repeats_brute():
     rng = np.random.default_rng(5)
     for _ in range(150):
@@ -107,34 +169,101 @@ def test_urls(spark):
         fit = [(len(h), len(p), h + p, v) for v, h, p in q.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         _, _, rule, verdict = max(fit, default=(0, 0, None, "allow"))
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict), u
+    clash = df.withColumn("host", F.lit("clash")).withColumn("path", F.lit("clash")).withColumn("rule", F.lit("clash")).withColumn("verdict", F.lit("block"))
+    assert sorted(map(str, url_filters.judge(clash, q.URL_RULES).collect())) == sorted(map(str, url_filters.judge(df, q.URL_RULES).collect()))
     assert url_filters.judge(df.limit(0), q.URL_RULES).count() == 0
 
 
-def brute_forward(word, prob, keys):
-    total = {0: 1.0}
-    for t in range(1, len(word) + 1):
-        total[t] = sum(total[s] * prob[word[s] if t - s == 1 else keys[word[s:t]]] for s in range(max(0, t - langid.MAX_PIECE), t) if t - s == 1 or word[s:t] in keys)
-    return total[len(word)]
+def segmentations(word, keys):
+    """Every way to cut a word into pieces and single bytes, as ids."""
+    if not word:
+        yield []
+    for n in range(1, len(word) + 1):
+        if n == 1 or word[:n] in keys:
+            for rest in segmentations(word[n:], keys):
+                yield [word[0] if n == 1 else keys[word[:n]], *rest]
 
 
-def test_forward_sums_all_segmentations():
-    h, ids = langid.pieces(langid.VOCABULARY)
-    rng = np.random.default_rng(2)
-    prob = rng.dirichlet(np.ones(256 + len(h)), 2).T
-    texts = [b"the", b"international", "été".encode(), b"a", b"xyzzyxyzzyxyzzyxyzzy" * 8]
+def brute_sums(word, prob, keys):
+    """Probability of a word, and how often each piece is used, over all segmentations."""
+    ways = [(z, float(np.prod([prob[i] for i in z]))) for z in segmentations(word, keys)]
+    total, use = sum(p for _, p in ways), Counter()
+    for z, p in ways:
+        for i in z:
+            use[i] += p / total
+    return total, use
+
+
+def piece_ids():
+    """All pieces of the vocabulary, read here once more, by their ids."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=langid.VOCABULARY)
-    names = {sp.id_to_piece(i).replace("▁", "").lower().encode() for i in range(3, sp.vocab_size()) if not sp.is_byte(i)}
-    names = sorted(n for n in names if 2 <= len(n) <= langid.MAX_PIECE)
-    keys = {n: 256 + k for k, n in enumerate(names)}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    names = {sp.id_to_piece(i).replace("▁", "").translate(low).encode() for i in range(3, sp.vocab_size()) if not sp.is_byte(i)}
+    return {n: 256 + k for k, n in enumerate(sorted(n for n in names if len(n) > 1))}
+
+
+def test_forward_sums_all_segmentations():
+    known, keys = langid.pieces(langid.VOCABULARY), piece_ids()
+    assert known.n == 256 + len(keys) and known.longest == max(map(len, keys)) > 10
+    rng = np.random.default_rng(2)
+    prob = rng.dirichlet(np.ones(known.n), 2).T
+    long = max(keys, key=len)
+    texts = [b"the", b"international", "été".encode(), b"a", long[:18], b"xyzzyxyzzyxyzzyxyzzy" * 8]
     data = np.frombuffer(b"".join(texts), np.uint8)
     at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    got = langid.word_scores(data, at[:-1], at[1:], prob, langid.VOCABULARY)
-    for w, row in list(zip(texts, got, strict=True))[:4]:
+    got = langid.word_scores(data, at[:-1], at[1:], prob, known)
+    for w, row in list(zip(texts, got, strict=True))[:5]:
         for k in range(2):
-            assert abs(row[k] - np.log(brute_forward(w, prob[:, k], keys))) < 1e-9
+            assert abs(row[k] - np.log(brute_sums(w, prob[:, k], keys)[0])) < 1e-9
     assert np.isfinite(got).all()
+    # a word that is a long piece can be that piece
+    data, sure = np.frombuffer(long, np.uint8), np.full((known.n, 1), 1e-9)
+    sure[keys[long]] = 0.5
+    assert abs(langid.word_scores(data, np.array([0]), np.array([len(long)]), sure, known)[0, 0] - np.log(0.5)) < 1e-6
+
+
+def test_fit_and_score_against_brute_force(spark):
+    """Expectation-maximisation by all segmentations, and the posterior of whole texts."""
+    keys = piece_ids()
+    texts = [("the them The", "en"), ("of the", "en"), ("été de la", "fr"), ("la de la", "fr"), ("the la été of", None), ("de  the\nétéxx", None), ("zz", None)]
+    ids = [i for i in range(100) if i == 0 or fold(i) != 0]
+    df = spark.createDataFrame([(ids[k], *t) for k, t in enumerate(texts)] + [(ids[0], *texts[0])], "doc_id long, text string, lang string").withColumn("word", F.lit("clash"))
+    n, prob = 256 + len(keys), {}
+    for lang in ("en", "fr"):
+        count = Counter(w for t, x in texts if x == lang for w in low_words(t))
+        p = np.full(n, 1 / n)
+        for _ in range(langid.ROUNDS):
+            c = np.full(n, langid.SMOOTH)
+            for w, times in count.items():
+                for i, use in brute_sums(w.encode(), p, keys)[1].items():
+                    c[i] += times * use
+            p = c / c.sum()
+        prob[lang] = p
+    langs, got = langid.fit(df)
+    assert langs == ["en", "fr"] and np.allclose(got, np.stack([prob["en"], prob["fr"]], 1), rtol=1e-6)
+    for r in langid.predict(df).collect():
+        t = texts[ids.index(r.doc_id)][0]
+        ll = {lang: sum(np.log(brute_sums(w.encode(), p, keys)[0]) for w in low_words(t)) for lang, p in prob.items()}
+        best = max(sorted(ll), key=ll.get)
+        assert r.lang_pred == best and abs(r.score - 1 / sum(np.exp(x - ll[best]) for x in ll.values())) < 1e-6
+
+
+def test_language_with_clashing_names(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the of and", "en"), ("la de et", "fr")] * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    clash = df
+    for c in ("word", "n", "salt", "held_out", "lang_pred", "score", "prob", "__h"):
+        clash = clash.withColumn(c, F.lit("clash"))
+    assert sorted(langid.predict(clash).collect()) == sorted(langid.predict(df).collect())
+
+
+def test_sample_takes_each_different_text_once(spark):
+    rows = [(k, f"t{k % 50}", "en") for k in range(100)] * 3 + [(None, "t", "en"), (1, None, "en"), (2, "t", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.sample(df, 1000).count() == sum(fold(k) != 0 for k in [*range(100), None])
+    assert langid.sample(df, 7).count() == 7
 
 
 def test_language(spark):
@@ -153,17 +282,13 @@ def test_language(spark):
 
 def test_piece_counts_of_long_words():
     """The pieces used in a word cover it, whatever its length."""
-    h, ids = langid.pieces(langid.VOCABULARY)
-    prob = np.random.default_rng(4).dirichlet(np.ones(256 + len(h)))
+    known, keys = langid.pieces(langid.VOCABULARY), piece_ids()
+    prob = np.random.default_rng(4).dirichlet(np.ones(known.n))
     words = ["the", "漢字仮名" * 900, "a"]
     data = np.frombuffer("".join(words).encode(), np.uint8)
     at = np.cumsum([0, *(len(w.encode()) for w in words)])
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=langid.VOCABULARY)
-    names = {sp.id_to_piece(i).replace("▁", "").lower().encode() for i in range(3, sp.vocab_size()) if not sp.is_byte(i)}
-    size = np.array([1] * 256 + [len(n) for n in sorted(n for n in names if 2 <= len(n) <= langid.MAX_PIECE)])
-    got = langid.piece_counts(data, at[:-1], at[1:], np.array([2.0, 1.0, 3.0]), prob, langid.VOCABULARY)
+    size = np.array([1] * 256 + [len(n) for n in sorted(keys)])
+    got = langid.piece_counts(data, at[:-1], at[1:], np.array([2.0, 1.0, 3.0]), prob, known)
     assert len(size) == len(got) and abs((got * size).sum() / (2 * 3 + len(words[1].encode()) + 3) - 1) < 1e-8
 
 
@@ -188,23 +313,25 @@ def test_more_languages_than_a_block(spark):
     assert [got[i] for i in range(len(texts))] == [lang for _, lang in texts]
 
 
-def cut_words(text):
-    import re
-
-    letter = "A-Za-z\x80-\U0010ffff"
-    return re.findall(f" ?[{letter}]{{1,47}}| ?[^ {letter}]{{1,47}}| ", text or "")
-
-
-def test_tokens_are_the_text():
+def test_no_piece_crosses_words():
     import random
     import pyarrow as pa
 
-    rng = random.Random(3)
+    rng, pairs = random.Random(3), sentencepiece_lattice.inside(sentencepiece_lattice.VOCABULARY)
+    table = [t for t, _, _ in sentencepiece_lattice.vocabulary(sentencepiece_lattice.VOCABULARY)[0] if len(t) > 1]
     for _ in range(100):
-        texts = ["".join(rng.choice(" aé\n漢.") for _ in range(rng.choice([0, 1, 4, 150]))).replace("a", "a" * rng.choice([1, 60])) for _ in range(4)]
-        (_, _, data, offs), = sentencepiece_lattice.steps(pa.array(texts), 1 << 30)
-        at = [*sentencepiece_lattice.tokens(data, offs).tolist(), len(data)]
-        assert [data[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:], strict=True)] == [w for t in texts for w in cut_words(t)]
+        texts = ["".join(rng.choice([" ", "    ", "é", "\n", "漢", ".”", rng.choice(table)]) for _ in range(rng.choice([0, 1, 4, 60]))) for _ in range(4)]
+        ((_, _, data, offs),) = sentencepiece_lattice.steps(pa.array(texts), 1 << 30)
+        at = [*sentencepiece_lattice.tokens(data, offs, pairs).tolist(), len(data)]
+        got = [data[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert "".join(got) == "".join(texts) and {0, *np.cumsum([len(t.encode()) for t in texts])} <= set(at) | {0}
+        raw = data.tobytes().decode()
+        inner = {len(data[:x].tobytes().decode()) for x in at[1:-1]} - set(np.cumsum([len(t) for t in texts]).tolist())
+        for t in rng.sample(table, 300):
+            k = raw.find(t)
+            while k >= 0:
+                assert not inner & set(range(k + 1, k + len(t)))
+                k = raw.find(t, k + 1)
 
 
 def brute_viterbi(word, table, byte0):
@@ -221,21 +348,34 @@ def brute_viterbi(word, table, byte0):
     return ids
 
 
-@pytest.mark.parametrize("common", [1 << 20, 3, 0])
-def test_encoding(spark, common):
+LONG = ["w" * n for n in (48, 100, 1000)] + ["ab漢字" * 700, "é" * 300 + "x1" * 600, "a" * 10_000, "\U0001f9ff" * 300]
+
+
+@pytest.mark.parametrize("common, fold", [(1 << 20, 4096), (100, 60), (0, 4096)])
+def test_encoding(spark, common, fold, monkeypatch):
+    """The best segmentation of the whole text, words of any length included."""
+    monkeypatch.setattr(sentencepiece_lattice, "FOLD", fold)
     table, _, byte0 = sentencepiece_lattice.vocabulary(sentencepiece_lattice.VOCABULARY)
-    by_text = {t: (i, s) for t, i, s in table}
-    texts = [t for t in ODD if t is None or len(t) < 400] + ["▁ 漢字\x00 hello  the the", "the the the", prose(40, 3), "y" * 100]
+    by_text: dict = {}
+    for t, i, s in table:
+        by_text[t] = max(by_text.get(t, (i, s)), (i, s), key=lambda x: (x[1], x[0]))
+    texts = [*ODD, *LONG, "▁ 漢字\x00 hello  the the", "the the the", "if x:\n        return “so”… .” ,”", prose(40, 3), " " * 40]
     d = documents(spark, [*texts, "the the the"], ids=[*range(len(texts)), None], extra=True)
     parts: dict = {}
-    for r in sentencepiece_lattice.decode(sentencepiece_lattice.encode(d, most_common=common)).collect():
+    for r in sentencepiece_lattice.decode(sentencepiece_lattice.encode(d, most=common)).collect():
         parts.setdefault(r.doc_id, []).append(r)
     assert len(parts) == len(texts) + 1
+    total = {r.doc_id: r for r in sentencepiece_lattice.summary(d, most=common).collect()}
     for i, t in enumerate(texts):
         own = sorted(parts[i], key=lambda r: r.part)
         assert [r.part for r in own] == list(range(len(own)))
-        assert [x for r in own for x in r.ids] == [x for w in cut_words(t) for x in brute_viterbi(w, by_text, byte0)]
-        assert "".join(r.decoded for r in own) == (t or "")
+        ids = [x for r in own for x in r.ids]
+        assert ids == brute_viterbi(t or "", by_text, byte0)
+        assert "".join(r.decoded for r in own) == (t or "") == "".join(r.body for r in own)
+        assert (total[i].n_pieces, total[i].n_bytes, total[i].n_words, total[i].exact) == (len(ids), len((t or "").encode()), sum(r.words for r in own), True)
+    if common:  # the hash of a text's ids does not depend on what is common
+        other = {r.doc_id: r.ids_hash for r in sentencepiece_lattice.summary(d, most=0).collect()}
+        assert other == {i: r.ids_hash for i, r in total.items()}
 
 
 def test_encoding_summary(spark):
