@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entropy
 from ..model import sorted_set
+from . import neighbours as nearby
 
 
 def temporal_edges(rows: DataFrame, key: str, order: list[str], member: Column, information: Column | None = None, prefix: str = "ev", predicate: str = "temporal") -> DataFrame:
@@ -93,41 +94,9 @@ def paint_nodes(nodes: DataFrame, size: int = 16, width: int = 256, height: int
     return p.groupBy("x", "y").agg(F.max_by(F.struct("r", "g", "b"), "node_id").alias("c")).select("x", "y", "c.*")
 
 
-def neighbours(vectors: DataFrame, k: int = 4, threshold: float = 0.0, block: int = 512) -> DataFrame:
-    """vectors(id, v double array) -> i, j, sim, rank: the k most similar others by cosine, ties to the smaller id.
-
-    Vectors go in blocks; each pair of blocks is one matrix product, from which
-    only each row's k best come out, so pairs are never rows. The work is still
-    quadratic: the reference semantics are exact and over all pairs.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    own = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = own.withColumnRenamed("block", "x").withColumn("y", every)
-    right = own.withColumnRenamed("block", "y").withColumn("x", every)
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if a.num_rows and b.num_rows:
-            matrix = lambda t: np.stack(t.column("v").to_pylist()).astype(float)
-            ia, ib, va, vb = np.asarray(a.column("id")), np.asarray(b.column("id")), matrix(a), matrix(b)
-            o = np.argsort(ib, kind="stable")
-            ib, vb = ib[o], vb[o]
-            length = lambda v: np.where((s := np.sqrt((v * v).sum(axis=1))) == 0, 1.0, s)
-            sim = np.round((va @ vb.T) / length(va)[:, None] / length(vb), 9)
-            for r in range(len(ia)):
-                c = np.flatnonzero(ib != ia[r])
-                c = c[np.argsort(-sim[r][c], kind="stable")[:k]]
-                out += [(int(ia[r]), int(ib[j]), float(sim[r, j])) for j in c]
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({"i": pa.array(cols[0], pa.int64()), "j": pa.array(cols[1], pa.int64()), "sim": pa.array(cols[2], pa.float64())})
-
-    part = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(run, "i long, j long, sim double")
-    best = part.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("sim"), F.asc("j")))).filter(F.col("rank") <= k)
+def neighbours(vectors: DataFrame, k: int = 4, threshold: float = 0.0, centres: int = nearby.CENTRES) -> DataFrame:
+    """vectors(id, v double array) -> i, j, sim, rank: the k most similar others by cosine, ties to the smaller id; from ``threshold`` on, if that is above 0."""
+    best = nearby.nearest(vectors, k, centres)
     return best.filter(F.col("sim") >= threshold) if threshold > 0 else best
 
 

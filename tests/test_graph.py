@@ -189,10 +189,29 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "kb/1")).first().predicate == "p"
 
 
-def test_neighbours(spark):
-    v = spark.createDataFrame([(i, [float(i % 3), 1.0, float(i)]) for i in range(30)] + [(99, [0.0, 0.0, 0.0])], "id long, v array<double>")
-    one = {(r.i, r.j, r["rank"]) for r in features.neighbours(v, 3).collect()}
-    assert one == {(r.i, r.j, r["rank"]) for r in features.neighbours(v, 3, block=7).collect()} and len(one) == 93
+@pytest.mark.parametrize("centres, block", [(64, 512), (5, 3), (1, 512)])
+def test_neighbours(spark, centres, block, monkeypatch):
+    """Against all pairs: clusters, copies, zero vectors, more neighbours than a cell has."""
+    import numpy as np
+
+    from hyperloom.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=6) * 0.1 + np.eye(6)[i % 5]).round(3).tolist()) for i in range(60)]
+    rows += [(100 + i, rows[0][1]) for i in range(7)] + [(200, [0.0] * 6), (201, [0.0] * 6), (202, (-np.ones(6)).tolist())]
+    got = {(r.i, r["rank"], r.j, r.sim) for r in features.neighbours(spark.createDataFrame(rows, "id long, v array<double>"), 5, centres=centres).collect()}
+    x = np.array([v for _, v in rows])
+    x = x / np.where((n := np.sqrt((x * x).sum(axis=1))) == 0, 1, n)[:, None]
+    sim, ids = np.round(x @ x.T, 9), [i for i, _ in rows]
+    want = set()
+    for a, i in enumerate(ids):
+        best = sorted((-sim[a, b], j) for b, j in enumerate(ids) if j != i)[:5]
+        want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(best)}
+    got_by, want_by = ({(i, k): (j, s) for i, k, j, s in x} for x in (got, want))
+    assert got_by.keys() == want_by.keys() and all(abs(got_by[p][1] - want_by[p][1]) < 1e-8 for p in want_by)
+    assert sum(got_by[p][0] != want_by[p][0] for p in want_by) <= len(want_by) // 50  # the last digit may order ties otherwise
+    assert features.neighbours(spark.createDataFrame([], "id long, v array<double>")).count() == 0
 
 
 def test_fingerprint_and_sizes(spark):
