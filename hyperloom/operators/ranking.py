@@ -38,22 +38,44 @@ def group_rank(df: DataFrame, group: str, order: list[Column], name: str = "rank
     return ranked.join(first, F.col(group).eqNullSafe(F.col("__g"))).withColumn(name, F.col("__at") - F.col("__first")).drop("__at", "__first", "__g")
 
 
+def _bar(counts: DataFrame, ratio: float) -> tuple[int, int]:
+    """(the step down to which the top reaches, its number of rows) from counts(__step, n)."""
+    counts = checkpoint(counts)
+    k = max(1, int((counts.agg(F.sum("n")).first()[0] or 0) * ratio))
+    few = counts.limit(int(16 * BAR_STEPS) + 1).collect()
+    if len(few) <= 16 * BAR_STEPS:
+        at = 0
+        for r in sorted(few, key=lambda r: -r["__step"]):
+            at += r["n"]
+            if at >= k:
+                return r["__step"], k
+        return 0, k
+    low, high = counts.agg(F.min("__step"), F.max("__step")).first()
+    while low < high:  # the greatest step that has k rows from it on: halving, so that no number of steps matters
+        middle = (low + high + 1) // 2
+        above = counts.filter(F.col("__step") >= middle).agg(F.sum("n")).first()[0] or 0
+        low, high = (middle, high) if above >= k else (low, middle - 1)
+    return low, k
+
+
 def top_by(df: DataFrame, ratio: float, order: list[Column], group: str | None = None, by: str = "I_value") -> DataFrame:
     """The first max(1, floor(rows * ratio)) rows of each group by falling ``by``, then ``order``; with ``rank`` (from 0).
 
     Counts by steps of ``by`` show how far down each group's top reaches; only
     the rows down to there are ordered.
     """
-    g = F.col(group) if group is not None else F.lit(0)
     # nulls come last, NaN first, as in a descending sort
     step = F.when(F.col(by).isNull(), F.lit(-(1 << 62))).when(F.isnan(by), F.lit(1 << 62)).otherwise(F.floor(F.greatest(F.lit(-1e12), F.least(F.lit(1e12), F.col(by))) * BAR_STEPS))
-    d = df.withColumn("__group", g).withColumn("__step", step.cast("long"))
+    d = df.withColumn("__step", step.cast("long"))
+    if group is None:  # one bar: the steps are walked here, BAR_STEPS of them for information between 0 and 1
+        bar, k = _bar(d.groupBy("__step").agg(F.count("*").alias("n")), ratio)
+        return global_rank(d.filter(F.col("__step") >= bar).drop("__step"), [F.desc(by), *order]).filter(F.col("rank") < k)
+    d = d.withColumn("__group", F.col(group))
     counts = checkpoint(d.groupBy("__group", "__step").agg(F.count("*").alias("n")))
     sizes = counts.groupBy(F.col("__group").alias("__g")).agg(F.greatest(F.lit(1), F.floor(F.sum("n") * F.lit(float(ratio)))).alias("__k"))
     down = Window.partitionBy("__group").orderBy(F.desc("__step")).rowsBetween(Window.unboundedPreceding, -1)
     bars = counts.withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0))).join(sizes, F.col("__group").eqNullSafe(F.col("__g")))
     bars = bars.filter(F.col("before") < F.col("__k")).groupBy(F.col("__g"), F.col("__k")).agg(F.min("__step").alias("__bar"))
     near = d.join(bars, F.col("__group").eqNullSafe(F.col("__g"))).filter(F.col("__step") >= F.col("__bar")).drop("__g", "__step", "__bar")
-    full = [F.desc(by), *order]
-    ranked = global_rank(near, full) if group is None else group_rank(near, "__group", full)
+    ranked = group_rank(near, "__group", [F.desc(by), *order])
     return ranked.filter(F.col("rank") < F.col("__k")).drop("__group", "__k")

@@ -281,3 +281,18 @@ def embed_images(spark: SparkSession, path: str, encoder: Callable[[np.ndarray],
     p = embed_patches(spark, path, encoder, pattern).select("graph_id", F.posexplode("v").alias("k", "x"))
     m = p.groupBy("graph_id", "k").agg(F.avg("x").alias("x")).groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("s"))
     return m.select("graph_id", F.transform("s", lambda s: s["x"]).alias("v"))
+
+
+def attention(spark: SparkSession, path: str, encoder: Callable[[np.ndarray], np.ndarray], pattern: str = "*") -> DataFrame:
+    """graph_id, head, i, j, w: the attention that ``encoder`` gives for an image's pixels (heads x patches x patches)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for graph, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    w = np.asarray(encoder(decode_image(raw.as_py())), float)
+                except (ValueError, zlib.error, struct.error):
+                    continue
+                h, i, j = (x.reshape(-1) for x in np.indices(w.shape))
+                yield pa.RecordBatch.from_arrays([pa.array([graph] * w.size), *(pa.array(x.astype(np.int64)) for x in (h, i, j)), pa.array(w.reshape(-1))], names=["graph_id", "head", "i", "j", "w"])
+
+    return _files(spark, path, pattern).mapInArrow(run, "graph_id string, head long, i long, j long, w double")

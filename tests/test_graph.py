@@ -70,6 +70,8 @@ def test_compress_decompress(spark, tmp_path):
         c = compress.Compressed(e, None, 0.4, 1.0, parts=parts)
         nodes, edges = compress.decompress(c.packets(rows))
         assert {r.edge_id for r in edges.collect()} == {"e1", "e2", "e4"} and nodes.count() == 3
+    sizes = {r.part: (r.packets, r.size_bytes) for r in partition.packet_summary(compress.Compressed(e, None, 0.4, 1.0, parts=3).packets()).collect()}
+    assert sizes == {r.part: (1, len(r.packet)) for r in compress.Compressed(e, None, 0.4, 1.0, parts=3).packets().collect()}
     c = compress.Compressed(e, None, 0.4, 1.0)
     r = c.report().first()
     assert (r.original_edges, r.compressed_edges, r.reused_edges) == (4, 3, 0)
@@ -95,7 +97,7 @@ def test_each_graph_has_its_own_kernel(spark):
     assert {r.edge_id for r in back.collect()} == {i for g, i, _ in want if g == "b"} - {r.edge_id for r in c.pruned.filter("g = 'b'").collect()} or c.pruned.count()
 
 
-def test_top_by_group(spark):
+def test_top_by_group(spark, monkeypatch):
     import random
 
     rng = random.Random(4)
@@ -105,6 +107,12 @@ def test_top_by_group(spark):
     key = lambda r: (r[2] is None, 0 if r[2] is None else -float("inf") if r[2] != r[2] else -r[2], r[2] == r[2], r[1])
     want = {(g, k, r[1]) for g in range(4) for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=key)[: max(1, int((5 + 40 * g) * 0.3))])}
     assert got == want
+    one = {(r["rank"], r.id) for r in ranking.top_by(d.filter("g = 3"), 0.3, [F.asc("id")]).collect()}
+    assert one == {(k, i) for g, k, i in want if g == 3}
+    monkeypatch.setattr(ranking, "BAR_STEPS", 0.25)  # with more steps than are fetched at once
+    assert one == {(r["rank"], r.id) for r in ranking.top_by(d.filter("g = 3"), 0.3, [F.asc("id")]).collect()}
+    monkeypatch.undo()
+    assert ranking.top_by(d.limit(0), 0.3, [F.asc("id")]).count() == 0
 
 
 def test_packet_with_patterns(spark):
@@ -399,6 +407,8 @@ def test_image_formats(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(media.encode_png(np.full((32, 32, 3), 50, np.uint8)))
     v = media.embed_patches(spark, str(tmp_path), lambda px: px.reshape(2, -1).mean(axis=1, keepdims=True)).collect()
     assert [(r.id, r.v) for r in v] == [(0, [50.0]), (1, [50.0])]
+    w = media.attention(spark, str(tmp_path), lambda px: np.stack((np.eye(2), np.ones((2, 2)))))
+    assert {(r.i, r.j): r.sim for r in features.head_average(w).collect()} == {(0, 0): 1.0, (0, 1): 0.5, (1, 0): 0.5, (1, 1): 1.0}
     assert media.embed_patches(spark, str(tmp_path)).count() == 4 and media.embed_images(spark, str(tmp_path)).count() == 1
 
 
