@@ -43,6 +43,8 @@ from .common import BLANK, LOWER, cut, is_fold, prefix_hash, span_hash, steps, t
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRAIN_DOCS, ROUNDS, SALTS = 300, 4, 64
 CACHE, LANGS = 1 << 18, 16
+#: Hashes of chosen texts that are sent to every task at most.
+SENT = 200_000
 #: Pseudo-count of every piece in every language.
 SMOOTH = 0.05
 
@@ -193,7 +195,10 @@ def sample(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
     first = own.select("lang", "__h", "__t", F.pmod("__t", F.lit(SALTS)).alias("salt"))
     for by in (("lang", "salt"), ("lang",)):
         first = first.withColumn("n", F.dense_rank().over(Window.partitionBy(*by).orderBy("__h", "__t"))).filter(F.col("n") <= most).drop("n").distinct()
-    chosen = own.join(first.drop("salt"), ["lang", "__h", "__t"], "left_semi")
+    first = cut(first.drop("salt"))
+    # a few hundred hashes a language: sent to the texts as long as they are few, so that no text is exchanged
+    few = first.count() <= SENT
+    chosen = own.join(F.broadcast(first) if few else first, ["lang", "__h", "__t"], "left_semi")
     return chosen.dropDuplicates(["lang", "__h", "__t"]).select("lang", "text")
 
 
