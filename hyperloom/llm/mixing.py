@@ -88,7 +88,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK,
     n_slots = int(-(-total // block))
     point = F.pmod((F.col("id") + 1).cast("decimal(20,0)") * F.lit(6180339887498949).cast("decimal(17,0)"), F.lit(10**16).cast("decimal(18,0)")).cast("double") / 1e16
     slots = spark.range(n_slots).withColumn("u", point).withColumn("cell", F.least(F.floor(F.col("u") * GRID), F.lit(GRID - 1)).cast("int"))
-    slots = slots.join(cells, "cell").filter("u >= lo and (u < hi or hi >= 1)").select("id", "i", "blocks", F.floor(F.col("id") / SLOT_CHUNK).alias("c"))
+    slots = cut(slots.join(cells, "cell").filter("u >= lo and (u < hi or hi >= 1)").select("id", "i", "blocks", F.floor(F.col("id") / SLOT_CHUNK).alias("c")))
     per = slots.groupBy("i", "c").agg(F.count("*").alias("n")).withColumn("rank_at", F.coalesce(F.sum("n").over(Window.partitionBy("i").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     slots = slots.withColumn("r", F.row_number().over(Window.partitionBy("i", "c").orderBy("id")) - 1).join(per.select("i", "c", "rank_at"), ["i", "c"])
     rank = F.col("r") + F.col("rank_at")
