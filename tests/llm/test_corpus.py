@@ -326,7 +326,7 @@ with tempfile.TemporaryDirectory() as folder:
     out = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))), timeout=600)
     assert not out.returncode, out.stderr
     spills, on_disk = map(int, out.stdout.split())
-    assert spills > 2 and on_disk > 4 * 128, out.stdout
+    assert spills > 2 and on_disk > 200, out.stdout  # of files that are still there; others have been deleted on the way
 
 
 def brute_removed(texts, size):
