@@ -42,7 +42,7 @@ from .common import U, mix
 #: Entries of a batch; bytes of queues held in memory before they go to disk; bytes of arrays that are held in memory, beyond which new ones are files.
 BATCH = 1 << 17
 SPILL_BYTES = 8 << 20
-MEMORY_BYTES = 24 << 20
+MEMORY_BYTES = 40 << 20
 #: Ranges of symbols that are counted apart.
 BINS = 1 << 16
 _BASE = U(0x9E3779B97F4A7C15)
