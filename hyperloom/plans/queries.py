@@ -679,7 +679,7 @@ def first_member_partition(spark, d):
 r as (select *, row_number() over (partition by part order by I_value desc, edge_id) as rank, count(*) over (partition by part) as n from e)
 select edge_id, part, rank::int as rank from r where rank <= greatest(1, floor(n * cast(0.15 as double)))""")
 def partition_topk(spark, d):
-    return partition.top_by_shard(g.supply(spark, d), 8, order="edge_id").select("edge_id", "part", "rank")
+    return partition.top_by_shard(g.supply(spark, d), 8, order="edge_id").select("edge_id", "part", F.col("rank").cast("int").alias("rank"))
 
 
 @query(with_(SUPPLY) + ", m as (select unnest(nodes) as node_id, edge_id, " + PART + " as part from supply) select node_id, min(part) as part from m group by node_id")
@@ -841,7 +841,7 @@ def compression_improvement(spark, d):
 
 
 @query(with_(KG, FREQ, MINED, KB) + """, n as (select p.*, exists (select 1 from kb where kb.predicate = p.predicate and kb.arity = len(p.nodes) and array_to_string(kb.attrs, ',') = p.attr_types) as known from pats p)
-select (select count(*) from kg) as source_edges, count(*) as patterns_mined, 18 as patterns_before, 18 + count(*) filter (where not known) as patterns_after, count(*) filter (where not known) as added, count(*) filter (where known) as skipped_duplicates from n""")
+select (select count(*) from kg) as source_edges, count(*) as patterns_mined, 18::bigint as patterns_before, 18 + count(*) filter (where not known) as patterns_after, count(*) filter (where not known) as added, count(*) filter (where known) as skipped_duplicates from n""")
 def learn_report(spark, d):
     r = mining.learn_report(knowledge.builtin(spark), _kg(spark, d))[1]
     cols = ["source_edges", "patterns_mined", "patterns_before", "patterns_after", "added", "skipped_duplicates"]

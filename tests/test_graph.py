@@ -311,6 +311,56 @@ def test_cli_roundtrip(spark, tmp_path):
     assert "[kernel_selection] in=3 out=3" in (tmp_path / "r.txt").read_text()
 
 
+def test_cli_info_and_increments(spark, tmp_path, capsys):
+    from hyperloom import cli
+
+    old, new, delta, back = (str(tmp_path / n) for n in ("old.json", "new.json", "d.bin", "back.json"))
+    later = json.loads(json.dumps(SAMPLE))
+    later["edges"] = later["edges"][1:] + [{"edge_id": "e9", "nodes": ["n1", "n4"], "predicate": "knows", "I_value": 0.5}]
+    later["nodes"][0]["attributes"]["name"] = "renamed"
+    (tmp_path / "old.json").write_text(json.dumps(SAMPLE))
+    (tmp_path / "new.json").write_text(json.dumps(later))
+    assert cli.main(["info", old]) == 0
+    said = capsys.readouterr().out
+    assert "total nodes 3" in said and "predicate works_on 2" in said and "e1 0.9000" in said
+    assert cli.main(["incremental-compress", old, new, delta]) == 0
+    assert cli.main(["incremental-decompress", old, delta, back]) == 0
+    doc = json.loads((tmp_path / "back.json").read_text())
+    assert {e["edge_id"]: (sorted(e["nodes"]), e["I_value"]) for e in doc["edges"]} == {e["edge_id"]: (sorted(e["nodes"]), e["I_value"]) for e in later["edges"]}
+    assert {n["node_id"]: n["attributes"] for n in doc["nodes"]} == {n["node_id"]: n["attributes"] for n in later["nodes"]}
+    graphs.write_pickle(*load(spark, tmp_path, SAMPLE), str(tmp_path / "p.pickle"))
+    assert cli.main(["compress", str(tmp_path / "p.pickle"), str(tmp_path / "p.esz"), "--trusted", "--use-builtin-kb"]) == 0
+
+
+def test_web_server(spark):
+    """The routes over HTTP."""
+    import threading
+    import urllib.error
+    import urllib.request
+    from http.server import HTTPServer
+
+    from hyperloom import web
+
+    server = HTTPServer(("127.0.0.1", 0), web.Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert b"<svg" in urllib.request.urlopen(f"{url}/").read()
+        ask = lambda path, body: json.loads(urllib.request.urlopen(urllib.request.Request(url + path, json.dumps(body).encode())).read())
+        packet = ask("/api/compress", SAMPLE | {"theta_dead": 0.4, "keep_ratio": 1})
+        assert len(ask("/api/decompress", {"data": packet["data"]})["edges"]) == 3
+        delta = ask("/api/incremental-compress", {"old": SAMPLE, "new": {"nodes": SAMPLE["nodes"], "edges": SAMPLE["edges"][:2]}})
+        assert len(ask("/api/incremental-decompress", {"old": SAMPLE, "data": delta["data"]})["edges"]) == 2
+        for path, code in (("/api/none", 404), ("/api/decompress", 404)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                ask(path, {})
+            assert e.value.code == code
+        with pytest.raises(urllib.error.HTTPError):
+            urllib.request.urlopen(f"{url}/other")
+    finally:
+        server.shutdown()
+
+
 def test_cli_batch(spark, tmp_path):
     """JSON and pickles below a folder, one bad file, one graph without edges."""
     from hyperloom import cli
