@@ -54,9 +54,10 @@ def coded_bits(freqs: DataFrame) -> DataFrame:
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp((x - top) / F.lit(temperature)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    # maximum and sum are bound once: inside a lambda they would be worked out for every element
+    bound = lambda v, f, g: F.transform(F.transform(F.array(v), lambda z: F.struct(z.alias("z"), f(z).alias("c"))), lambda s: F.transform(s["z"], lambda x: g(x, s["c"])))[0]
+    e = bound(logits, F.array_max, lambda x, top: F.exp((x - top) / F.lit(temperature)))
+    return bound(e, lambda z: F.aggregate(z, F.lit(0.0), lambda a, b: a + b), lambda x, total: x / total)
 
 
 def expected_bits(p: Column) -> Column:
@@ -77,8 +78,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """A vector at length 1; a zero vector stays as it is."""
-    n = F.when(norm(v) == 0, 1.0).otherwise(norm(v))
-    return F.transform(v, lambda x: x / n)
+    sized = F.transform(F.array(v), lambda z: F.struct(z.alias("z"), F.when(norm(z) == 0, 1.0).otherwise(norm(z)).alias("n")))
+    return F.transform(sized, lambda s: F.transform(s["z"], lambda x: x / s["n"]))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:
