@@ -43,6 +43,8 @@ from .common import U, mix
 BATCH = 1 << 17
 SPILL_BYTES = 8 << 20
 MEMORY_BYTES = 24 << 20
+#: Symbols within which most neighbours part.
+FEW = 16
 #: Ranges of symbols that are counted apart.
 BINS = 1 << 16
 _BASE = U(0x9E3779B97F4A7C15)
@@ -257,9 +259,12 @@ class _Substrings:
 
     def word(self, i: np.ndarray, k: int) -> np.ndarray:
         """The k-th run of ``fit`` symbols of each substring, as one number."""
-        out = np.zeros(len(i), np.uint64)
-        for j in range(k * self.fit, (k + 1) * self.fit):
-            out = (out << U(self.bits)) | self.symbols(i, j).astype(np.uint64)
+        out, at, end = np.zeros(len(i), np.uint64), self.stars[i].astype(np.int64) + k * self.fit, self.ends(i)
+        for _ in range(self.fit):
+            inside = at < end
+            out <<= U(self.bits)
+            out |= np.where(inside, self.text[np.where(inside, at, 0)], self.pad).astype(np.uint64)
+            at += 1
         return out
 
     def ordered(self, i: np.ndarray) -> np.ndarray:
@@ -609,9 +614,15 @@ def star_prefixes(text: np.ndarray, order: np.ndarray, limit: int, scratch: Scra
         x, y = order[at - 1 : at - 1 + BATCH][: len(order) - at], order[at : at + BATCH]
         a, b = np.minimum(x, y).astype(np.int64), np.maximum(x, y).astype(np.int64)
         shift = low[(b - a) & 0xFFFF] * high[(b - a) >> 16]
-        lcp, step = np.zeros(len(a), np.int64), 1 << (limit.bit_length() - 1)
+        lcp, step, live = np.zeros(len(a), np.int64), 1 << (limit.bit_length() - 1), np.arange(len(a))
+        if step > FEW:  # neighbours that part within FEW symbols need no longer steps
+            fits = np.flatnonzero(b + FEW <= n)
+            u, v = a[fits], b[fits]
+            live = fits[(sums[u + FEW] - sums[u]) * shift[fits] == sums[v + FEW] - sums[v]]
         while step:  # the longest equal prefix, bit by bit
-            f = np.flatnonzero((lcp + step <= limit) & (b + lcp + step <= n))
+            if step == FEW // 2:
+                live = np.arange(len(a))
+            f = live[(lcp[live] + step <= limit) & (b[live] + lcp[live] + step <= n)]
             u, v = a[f] + lcp[f], b[f] + lcp[f]
             same = (sums[u + step] - sums[u]) * shift[f] == sums[v + step] - sums[v]
             lcp[f[same]] += step
