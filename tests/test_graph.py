@@ -1,3 +1,4 @@
+import os
 import json
 import pickle
 
@@ -115,6 +116,47 @@ def test_top_by_group(spark, monkeypatch):
     assert ranking.top_by(d.limit(0), 0.3, [F.asc("id")]).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 65_536])
+def test_first_rounds_of_groups(spark, few, monkeypatch):
+    """Seeds and first rounds of graphs whose edge ids and nodes repeat; a null group is none."""
+    import random
+
+    from hyperloom.operators import kernel
+
+    monkeypatch.setattr(ranking, "GROUPS", few)
+    rng = random.Random(6)
+    rows = [(g, f"e{i:02}", sorted(rng.sample([f"v{k}" for k in range(30)], rng.randint(0, 4))), rng.choice([0.5, 0.5, 0.25, round(rng.random(), 2), None])) for g in [1, 2, 3, None] for i in range(12 + 9 * (g or 0))]
+    e = spark.createDataFrame(rows, "g long, edge_id string, nodes array<string>, I_value double")
+    want = set()
+    for g in (1, 2, 3):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[3] is None, -(r[3] or 0), r[1]))
+        k = max(1, int(len(own) * 0.2))
+        inside = {n for r in own[:k] for n in r[2]}
+        want.add((g, k, sum(len(inside & set(r[2])) >= 2 for r in own[k:])))
+    assert {tuple(r) for r in kernel.reach_sizes(e, "g", 0.2, ("edge_id",)).collect()} == want
+    assert kernel.reach_sizes(e.limit(0), "g", 0.2, ("edge_id",)).count() == 0
+
+
+def test_shard_kernels_hold_no_copies_of_the_edges(spark, monkeypatch):
+    """No checkpoint has a row for every edge, and nothing that was stored stays."""
+    from hyperloom.model import shared_folder
+    from hyperloom.operators import stages
+    from hyperloom.plans import derived, queries
+
+    d, kind, rows = SF, type(spark.range(1)), []
+    alive, plain = stages.prune(derived.supply(spark, d)).count(), kind.checkpoint
+
+    def counted(df, *args, **named):
+        out = plain(df, *args, **named)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "checkpoint", counted)
+    assert queries.QUERIES["shard_kernels"](spark, d).count() == 8
+    assert rows and max(rows) < alive / 4
+    assert not [f for f in os.listdir(shared_folder(spark).removeprefix("file:")) if f.startswith("store-")]
+
+
 def test_packet_with_patterns(spark):
     from hyperloom.operators import knowledge
 
