@@ -4,14 +4,14 @@
    Texts with equal sets are one class, known by a 128-bit digest; everything
    after works on classes, so copies are never paired.
 2. Bands of ``ROWS`` minima of multiply-add hashes (64-bit, high half): as many
-   bands as it takes that all differ with probability 1.4e-6 at most at the
-   threshold (``SIMILAR`` percent unless given): 23 at 85, 34 at 80.
+   bands as it takes that a pair at the threshold (``SIMILAR`` percent unless
+   given) shares fewer than two with probability 1.4e-6 at most: 29 at 85, 42 at 80.
 3. Links are sought bucket by bucket in two passes. First every member is
    compared with its bucket's least class; components of these links are found.
-   Then only classes that share a bucket but are still in different components
-   are compared: those outside the bucket's largest component with all, in blocks,
-   each pair in the first band that it shares. In both passes a pair goes on if
-   enough of its minima agree (for a pair at the threshold this fails with
+   Then only classes that share two bands but are still in different components
+   are compared, in the bucket of the first that they share: those outside the
+   bucket's largest component with all, in blocks. In both passes a pair goes on
+   if enough of its minima agree (for a pair at the threshold this fails with
    probability below 1e-7).
 4. Every candidate is confirmed on the full sets, by integers:
    100 * |A n B| >= threshold * |A u B|.
@@ -21,9 +21,9 @@ No pair of one component is compared after the first pass, and no bucket is
 expanded into pairs: inside a block, pairs are tested in place, and a row comes
 out for each join of components. A bucket with more than ``BLOCK`` rows outside
 its largest component is split by a second band: a pair goes to the bucket of the
-first two bands that it shares. (A pair at the threshold that shares one band
-shares no other with a probability of 2.5e-6 at 85, about that by which it shares
-none at all.) What is still large is cut into blocks of ``BLOCK`` rows and
+first two bands that it shares. Two bands are asked for in every bucket, so the
+same pairs are compared however wide it is and wherever it is split.
+What is still large is cut into blocks of ``BLOCK`` rows and
 ``BLOCK_BYTES`` of sets at most, and every pair of blocks is a group of its own, so
 no bucket is gathered in one task and none is skipped.
 
@@ -52,7 +52,7 @@ from .components import components
 
 WORDS, SIMILAR = 5, 85
 ROWS = 5
-#: Chances that a pair at the threshold shares no band, and that fewer of its minima agree than the bar.
+#: Chances that a pair at the threshold shares fewer than two bands, and that fewer of its minima agree than the bar.
 BAND_MISS, SIGN_MISS = 1.4e-6, 1e-7
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
 _rng = np.random.Generator(np.random.PCG64(8128))
@@ -61,8 +61,11 @@ _MULT = [U(int(x)) for x in _rng.integers(0, 2**62, max(WORDS, ROWS), dtype=np.u
 
 @lru_cache(maxsize=8)
 def n_bands(similarity: int) -> int:
-    """The number of bands at a similarity in percent: 23 at 85, 34 at 80."""
-    return math.ceil(math.log(BAND_MISS) / math.log(1 - (similarity / 100) ** ROWS))
+    """The number of bands at a similarity in percent, of which a pair shares two but with a chance of BAND_MISS: 29 at 85, 42 at 80."""
+    p, n = (similarity / 100) ** ROWS, 2
+    while (1 - p) ** n + n * p * (1 - p) ** (n - 1) > BAND_MISS:
+        n += 1
+    return n
 
 
 @lru_cache(maxsize=8)
@@ -202,7 +205,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def _candidates(t: pa.Table, n: np.ndarray, sig: np.ndarray, similarity: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(i, partners, component numbers) of a pair of blocks: left and right rows of other components whose sizes and signatures allow a link, where this is the bucket of the first bands that they share.
+    """(i, partners, component numbers) of a pair of blocks: left and right rows of other components whose sizes and signatures allow a link, where they share two bands and this is the bucket of the first, or of the first two.
 
     Component numbers may be changed meanwhile; what has become one is passed over.
     """
@@ -220,9 +223,10 @@ def _candidates(t: pa.Table, n: np.ndarray, sig: np.ndarray, similarity: int) ->
             same = band[r] == band[i]
             first = same.argmax(axis=1)
             ok = band[i, first] == key
+            same[np.arange(len(r)), first] = False
+            ok &= same.any(axis=1)  # a second band in any bucket: what is compared does not hang on its width
             if other is not None:
-                same[np.arange(len(r)), first] = False
-                ok &= same.any(axis=1) & (band[i, same.argmax(axis=1)] == other)
+                ok &= band[i, same.argmax(axis=1)] == other
             r = r[ok]
         if len(r):
             yield i, r, root

@@ -209,6 +209,34 @@ def test_wide_bucket_is_not_expanded(spark, monkeypatch):
     assert sum(x.count() for x in rows) < 12_000  # 300 * 300 / 16 a bucket, 44,850 pairs
 
 
+@pytest.mark.parametrize("similarity", [85])
+def test_a_bucket_s_width_changes_no_link(spark, similarity, monkeypatch):
+    """Pairs that share one band, two or all: the same are found whether their bucket is split or not."""
+    rng, bands = np.random.default_rng(5), minhash.n_bands(similarity)
+    p = (similarity / 100) ** minhash.ROWS
+    assert (1 - p) ** bands + bands * p * (1 - p) ** (bands - 1) <= minhash.BAND_MISS
+    n, near = 60, {1: [(0, 1), (2, 3)], 2: [(4, 5), (6, 7)], bands: [(8, 9)]}
+    sig = rng.integers(0, 2**32, (n, bands, minhash.ROWS), dtype=np.uint32)
+    sig[:, 0] = 7
+    sets = [np.sort(rng.integers(0, 2**62, 40).astype(np.uint64)) for _ in range(n)]
+    for shared, pairs in near.items():
+        for a, b in pairs:
+            sig[b], sets[b] = sig[a], np.sort(np.append(sets[a][:-1], sets[b][:1]))
+            sig[b, shared:, 2] += 1  # one of five minima differs in each of the other bands
+    sig = sig.reshape(n, -1)
+    keys = minhash.bucket_keys(sig).view(np.int64)
+    cls = [bytearray(k.to_bytes(16, "big")) for k in range(n)]
+    monkeypatch.setattr(minhash, "signature", lambda x, _, known={x.tobytes(): sig[k] for k, x in enumerate(sets)}: known[x.tobytes()])
+    members = spark.createDataFrame([(int(keys[k, j]), cls[k], cls[k]) for k in range(n) for j in range(bands)], "key long, cls binary, label binary")
+    signed = spark.createDataFrame([(cls[k], 40, bytearray(sig[k].tobytes())) for k in range(n)], "cls binary, n_shingles long, sig binary")
+    full = spark.createDataFrame([(cls[k], bytearray(sets[k].tobytes())) for k in range(n)], "cls binary, shingles binary")
+    bands_of = spark.createDataFrame([(cls[k], keys[k].tolist()) for k in range(n)], "cls binary, bands array<long>")
+    for block in (4, 2048):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = minhash._across(members, bands_of, signed, full, similarity).collect()
+        assert {(bytes(r.a), bytes(r.b)) for r in got} == {(bytes(cls[a]), bytes(cls[b])) for shared, pairs in near.items() if shared > 1 for a, b in pairs}, block
+
+
 def test_near_dedup_stage_at_80(spark):
     """The pipeline's stage joins pairs from 0.80 to 0.85 too, as brute force does at 80."""
     import corpus_pipeline
