@@ -209,7 +209,7 @@ def test_wide_bucket_is_not_expanded(spark, monkeypatch):
     assert sum(x.count() for x in rows) < 12_000  # 300 * 300 / 16 a bucket, 44,850 pairs
 
 
-@pytest.mark.parametrize("similarity", [85])
+@pytest.mark.parametrize("similarity", [85, 80])
 def test_a_bucket_s_width_changes_no_link(spark, similarity, monkeypatch):
     """Pairs that share one band, two or all: the same are found whether their bucket is split or not."""
     rng, bands = np.random.default_rng(5), minhash.n_bands(similarity)
