@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_shuffles
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,10 +14,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Both stars keep the components and only replace a node's neighbours by the
     least one, so edges never grow beyond those there were. A hub's neighbours
     are not gathered: its least neighbour is an aggregate with partial sums,
-    joined back to the edges.
+    joined back to the edges. The shuffle files of a round go with it.
     """
-    e = cut(edges.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
-    sums = lambda x: x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("h")).first()
+    e = cut(edges.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), free=True)
+
+    def sums(x: DataFrame) -> Row:
+        both = x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("h"))
+        row = both.collect()[0]
+        free_shuffles(both)
+        return row
+
     seen = sums(e)
     for _ in range(max_rounds):
         if not seen["n"]:
@@ -30,7 +36,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         m = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(m, "hi").select("m", "lo", "hi")
         small = moved.select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi")).filter("lo <> hi").distinct()
-        e = cut(small)
+        e = cut(small, free=True)
         now = sums(e)
         if now == seen:
             break

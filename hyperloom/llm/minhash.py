@@ -286,8 +286,8 @@ def _across(members: DataFrame, bands: DataFrame, signed: DataFrame, sets: DataF
                     root[root == root[k]] = root[i]
         return pa.table({"a": pa.array([min(p) for p in out], pa.binary()), "b": pa.array([max(p) for p in out], pa.binary())})
 
-    members = cut(members.join(signed.select("cls", "n_shingles"), "cls").withColumn("other", F.lit(None).cast("long")))
-    buckets = cut(_buckets(members))
+    members = cut(members.join(signed.select("cls", "n_shingles"), "cls").withColumn("other", F.lit(None).cast("long")), free=True)
+    buckets = cut(_buckets(members), free=True)
     rows = _pair_blocks(members, buckets.filter(F.col("few") <= BLOCK))
     wide = buckets.filter(F.col("few") > BLOCK)
     if not wide.isEmpty():
@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILAR) -> DataFrame:
     some = rows.filter("cls is not null")
     buckets = some.select("cls", F.explode("bands").alias("key"))
     hubs = buckets.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).filter("hub <> last").select("key", "hub")
-    shared = cut(buckets.join(hubs, "key").select("key", "hub", "cls").distinct())
+    shared = cut(buckets.join(hubs, "key").select("key", "hub", "cls").distinct(), free=True)
     known = shared.select("cls").distinct()
     # the full sets of the classes that share a bucket, from a text of each; a doc_id on several rows brings all of their sets
     ids = some.select("cls", "doc_id").join(known, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("id")).select("id").distinct()
@@ -325,18 +325,18 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILAR) -> DataFrame:
     sets = _sets(d.join(ids, d.doc_id.eqNullSafe(ids.id), "left_semi"))
     if repeats(rows):
         sets = sets.groupBy("cls").agg(F.first("shingles").alias("shingles"))
-    sets = cut(sets)
+    sets = cut(sets, free=True)
     signed = cut(_signed(sets, similarity))
 
     pairs = shared.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    links = cut(_confirm(_likely(pairs, signed, similarity), sets, similarity))
-    label = cut(components(links))
+    links = cut(_confirm(_likely(pairs, signed, similarity), sets, similarity), free=True)
+    label = cut(components(links), free=True)
     by = shared.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
     apart = by.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
     members = by.join(apart, "key", "left_semi")
-    more = cut(_across(members, some.select("cls", "bands").dropDuplicates(["cls"]), signed, sets, similarity))
+    more = cut(_across(members, some.select("cls", "bands").dropDuplicates(["cls"]), signed, sets, similarity), free=True)
     if not more.isEmpty():
-        label = cut(components(links.union(more)))
+        label = cut(components(links.union(more)), free=True)
     member = some.groupBy("cls").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = member.groupBy("label").agg(F.min("least").alias("component_id"))
     final = member.join(least, "label").select("cls", "component_id")

@@ -284,6 +284,22 @@ def test_components(spark):
     assert got == {x: top(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_near_dedup_frees_its_shuffle_files(spark):
+    """What the steps before the last one have exchanged is gone when the result is returned, without a collection of the driver's garbage."""
+    import time
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    shuffles = lambda: {f.getName().split("_")[1] for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(env.blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = shuffles()
+    texts = family(12, 200, 2, 1) + family(8, 60, 1, 3) + [prose(300, 60)] * 3
+    out = minhash.near_duplicates(documents(spark, texts))
+    end = time.time() + 20
+    while len(left := shuffles() - before) > 8 and time.time() < end:
+        time.sleep(0.2)
+    assert len(left) <= 8  # of the questions whether a table is empty; before, of every join and every round
+    assert [r.component_id for r in out.orderBy("doc_id").collect()] == brute_components(list(range(len(texts))), texts)[0]
+
+
 # ------------------------------------------------------------- suffix dedup
 def tiny(monkeypatch, rng):
     """Batches, queues and files so small that all that happens to large shards happens."""
