@@ -22,7 +22,8 @@ expanded into pairs: inside a block, pairs are tested in place, and a row comes
 out for each join of components. A bucket with more than ``BLOCK`` rows outside
 its largest component is split by a second band: a pair goes to the bucket of the
 first two bands that it shares. Two bands are asked for in every bucket, so the
-same pairs are compared however wide it is and wherever it is split.
+same pairs are compared however wide it is and wherever it is split. (The first
+pass takes its pairs at one band, in all buckets: links beyond that bound.)
 What is still large is cut into blocks of ``BLOCK`` rows and
 ``BLOCK_BYTES`` of sets at most, and every pair of blocks is a group of its own, so
 no bucket is gathered in one task and none is skipped.
